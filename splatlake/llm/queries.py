@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
-from .shared import table
+from . import bpe, language, quality_model, quality_rules
+from .shared import fold_of, table
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of("doc_id", 3) == 1
+    scored = quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold_of("doc_id", 4) == 2
+    model = language.learn(docs, ~held_out)
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op4_quality_rules": op4_quality_rules, "op7_quality_model": op7_quality_model, "op9_language": op9_language}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
