@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, quality_model, quality_rules
+from . import bpe, chat, language, quality_model, quality_rules
 from .shared import fold_of, table
 
 
@@ -13,6 +14,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")))
+    back = chat.read_back(chat.blocks(chat.messages(chat.from_turns(turns))))
+    return back.select(
+        "conv_id",
+        "n_turns",
+        F.sha2("turns", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -29,7 +45,22 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_quality_rules": op4_quality_rules, "op7_quality_model": op7_quality_model, "op9_language": op9_language}
+QUERIES = {"op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op7_quality_model": op7_quality_model, "op9_language": op9_language}
 
 #: DuckDB twins of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat": r"""
+        with t as (
+            select conv_id, coalesce(turn, -4611686018427387904) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), e as (
+            select *, length(role || text) + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')) as escaped from t
+        )
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+            cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+            cast(sum(escaped + 17) as bigint) as formatted_chars
+        from e group by conv_id
+    """,
+}
