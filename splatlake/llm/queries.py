@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, quality_model, quality_rules
+from . import bpe, chat, language, mixing, quality_model, quality_rules, secrets
 from .shared import fold_of, table
 
 
@@ -33,19 +33,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"), secrets.train(spark))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of("doc_id", 3) == 1
     scored = quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold_of("doc_id", 4) == 2
     model = language.learn(docs, ~held_out)
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op7_quality_model": op7_quality_model, "op9_language": op9_language}
+QUERIES = {"op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op6_secrets": op6_secrets, "op7_quality_model": op7_quality_model, "op8_mixing": op8_mixing, "op9_language": op9_language}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
