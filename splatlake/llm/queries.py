@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, mixing, quality_model, quality_rules, secrets
+from . import bpe, chat, language, mixing, quality_model, quality_rules, secrets, sharding
 from .shared import fold_of, table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 24)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -53,7 +57,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op6_secrets": op6_secrets, "op7_quality_model": op7_quality_model, "op8_mixing": op8_mixing, "op9_language": op9_language}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op6_secrets": op6_secrets, "op7_quality_model": op7_quality_model, "op8_mixing": op8_mixing, "op9_language": op9_language}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
