@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, mixing, quality_model, quality_rules, secrets, sharding
+from . import bpe, chat, language, mixing, neighbours, quality_model, quality_rules, secrets, sharding
 from .shared import fold_of, table
 
 
@@ -57,7 +57,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op6_secrets": op6_secrets, "op7_quality_model": op7_quality_model, "op8_mixing": op8_mixing, "op9_language": op9_language}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op6_secrets": op6_secrets, "op7_quality_model": op7_quality_model, "op8_mixing": op8_mixing, "op9_language": op9_language, "op10_neighbours": op10_neighbours}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
