@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, mixing, neighbours, quality_model, quality_rules, secrets, sharding
+from . import bpe, chat, jaccard, language, mixing, neighbours, quality_model, quality_rules, secrets, sharding
 from .shared import fold_of, table
 
 
@@ -37,6 +37,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"), secrets.train(spark))
 
@@ -61,7 +65,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op6_secrets": op6_secrets, "op7_quality_model": op7_quality_model, "op8_mixing": op8_mixing, "op9_language": op9_language, "op10_neighbours": op10_neighbours}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality_rules": op4_quality_rules, "op5_jaccard": op5_jaccard, "op6_secrets": op6_secrets, "op7_quality_model": op7_quality_model, "op8_mixing": op8_mixing, "op9_language": op9_language, "op10_neighbours": op10_neighbours}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {

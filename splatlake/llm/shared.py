@@ -1,8 +1,7 @@
-"""What the corpus operators share: cutting lineage, named columns, and vectorised tokenising of Arrow text."""
+"""What the corpus operators share: tables, folds, and vectorised tokenising of Arrow text."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut, ready  # noqa: F401
+
 #: Texts are tokenised in slices of about so many bytes, whatever the size of an Arrow batch.
 SLICE_BYTES = 4 << 20
 _P = np.uint64(0x9E3779B97F4A7C55)
@@ -20,19 +21,8 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _power: dict[str, np.ndarray] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; its lineage ends there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests) a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold_of(id_column: str, n: int) -> Column:
