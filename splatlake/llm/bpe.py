@@ -40,77 +40,84 @@ class Replay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {i: b for b, i in ranks.items()}
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
-        #: rank of the merge of each pair of ids met so far, -1 if there is none
-        self.merge: dict[int, int] = {}
-
-    def rank(self, a: int, b: int) -> int:
-        key = a << 32 | b
-        r = self.merge.get(key)
-        if r is None:
-            r = self.merge[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return r
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        ranks, single, rank = self.ranks, self.single, self.rank
-        out: list[list[int]] = [[] for _ in words]
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        heads: list[tuple[int, int]] = []
+        self.text = {i: str(i) for i in ranks.values()}
+        #: the id of the merge of each mergeable pair of ids, by a << 32 | b
+        self.merges = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        first = np.full((256, 256), -1, np.int64)
+        for t, r in ranks.items():
+            if len(t) == 2:
+                first[t[0], t[1]] = r
+        self.first = first
+
+    def encode(self, words: list[bytes]) -> list[str]:
+        """The ids of each word, in decimal, joined by commas."""
+        out, todo = [""] * len(words), []
         for w, word in enumerate(words):
-            whole = ranks.get(word)
-            if whole is not None:
-                out[w] = [whole]
-                continue
-            at, n = len(symbol), len(word)
-            heads.append((w, at))
-            symbol += [single[b] for b in word]
-            before += [-1, *range(at, at + n - 1)]
-            after += [*range(at + 1, at + n), -1]
-        index: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (r := rank(symbol[i], symbol[j])) >= 0:
-                index.setdefault(r, []).append(i)
-        heap = list(index)
+            whole = self.ranks.get(word)
+            if whole is None:
+                todo.append(w)
+            else:
+                out[w] = self.text[whole]
+        if not todo:
+            return out
+        data = np.frombuffer(b"".join([words[w] for w in todo]), np.uint8)
+        ends = np.cumsum([len(words[w]) for w in todo])
+        n = len(data)
+        # doubly linked symbols, -1 where a word ends
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[np.concatenate([[0], ends[:-1]])] = -1
+        # the inverted index: rank of a pair to the positions of its left symbols
+        rank = np.full(n, -1)
+        rank[:-1] = self.first[data[:-1], data[1:]]
+        rank[ends - 1] = -1
+        order = np.argsort(rank, kind="stable")
+        order = order[np.searchsorted(rank[order], 0) :]
+        kinds, starts = np.unique(rank[order], return_index=True)
+        index = {r: x.tolist() for r, x in zip(kinds.tolist(), np.split(order, starts[1:]), strict=True)} if len(order) else {}
+        symbol, after, before = self.single[data].tolist(), after.tolist(), before.tolist()
+        heap, merges = list(index), self.merges
         heapq.heapify(heap)
-        tokens = self.tokens
         while heap:
             r = heapq.heappop(heap)
-            # one merged token can come from several pairs; an entry is stale once its pair has changed
-            for i in sorted(index.pop(r)):
+            places = index.pop(r)
+            places.sort()
+            for i in places:
+                # an entry is stale once its pair has changed
                 j = after[i]
-                if j < 0 or symbol[i] < 0 or rank(symbol[i], symbol[j]) != r:
+                a = symbol[i]
+                if j < 0 or a < 0 or merges.get(a << 32 | symbol[j]) != r:
                     continue
                 symbol[i] = r
                 symbol[j] = -1
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    if (x := rank(r, symbol[k])) >= 0:
+                    x = merges.get(r << 32 | symbol[k])
+                    if x is not None:
                         if x in index:
                             index[x].append(i)
                         else:
                             index[x] = [i]
                             heapq.heappush(heap, x)
                 h = before[i]
-                if h >= 0 and (x := rank(symbol[h], r)) >= 0:
-                    if x in index:
-                        index[x].append(h)
-                    else:
-                        index[x] = [h]
-                        heapq.heappush(heap, x)
-        for w, at in heads:
-            ids, i = [], at
-            while i >= 0:
-                ids.append(symbol[i])
-                i = after[i]
-            out[w] = ids
-        if len(self.merge) > 1_000_000:
-            self.merge.clear()
-        del tokens
+                if h >= 0:
+                    x = merges.get(symbol[h] << 32 | r)
+                    if x is not None:
+                        if x in index:
+                            index[x].append(h)
+                        else:
+                            index[x] = [h]
+                            heapq.heappush(heap, x)
+        left = np.array(symbol)
+        stands = left >= 0
+        ids = list(map(self.text.__getitem__, left[stands].tolist()))
+        stops = np.cumsum(stands)[ends - 1].tolist()
+        at = 0
+        for w, stop in zip(todo, stops, strict=True):
+            out[w] = ",".join(ids[at:stop])
+            at = stop
         return out
 
 
@@ -119,24 +126,21 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.find = Replay(ranks), regex.compile(pattern).findall
-        self.cache: dict[str, tuple[int, str]] = {}
-        self.bytes_of = {str(i): b for i, b in self.replay.tokens.items()}
+        self.cache: dict[str, str] = {}
+        self.bytes_of = {str(i): b for b, i in ranks.items()}
 
     def encode(self, texts: list[str]) -> list[tuple[int, str]]:
         """Of each text the number of ids, and the ids in decimal joined by commas."""
         split = [self.find(t) for t in texts]
-        fresh = list(set().union(*split).difference(self.cache))
+        vocabulary = set().union(*split)
+        fresh = list(vocabulary.difference(self.cache))
         if len(self.cache) + len(fresh) > CACHED:
-            self.cache.clear()
-            fresh = list(set().union(*split))
-        for word, ids in zip(fresh, self.replay.encode([w.encode() for w in fresh]), strict=True):
-            self.cache[word] = (len(ids), ",".join(map(str, ids)))
+            # what this block also has is likely to come again
+            self.cache = {w: self.cache[w] for w in vocabulary.intersection(self.cache)}
+        self.cache.update(zip(fresh, self.replay.encode([w.encode() for w in fresh]), strict=True))
         get = self.cache.__getitem__
-        out = []
-        for words in split:
-            got = list(map(get, words))
-            out.append((sum(n for n, _ in got), ",".join([s for _, s in got])))
-        return out
+        joined = [",".join(map(get, words)) for words in split]
+        return [(s.count(",") + 1 if s else 0, s) for s in joined]
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
