@@ -1,11 +1,11 @@
 """N-gram Jaccard join with filters under several global orders.
 
-A text's set is its distinct 3-word shingles (A-Z lower-cased), as 64-bit hashes. Texts with equal sets are one class.
-Two classes link when 100 * |intersection| >= 90 * |union|. The result is each row's class of links: the smallest id
-reachable.
+A text's set is its distinct shingles of ``Likeness.words`` words (A-Z lower-cased), as 64-bit hashes. Texts with equal
+sets are one class. Two classes link when 100 * |intersection| >= percent * |union|. The result is each row's class of
+links: the smallest id reachable. Below, t is percent / 100.
 
 If two sets are that similar, then under every global order of shingles they share one among the first
-n - ceil(0.9 n) + 1 of each, and k among the first n - ceil(0.9 n) + k. That is used three times:
+n - ceil(t n) + 1 of each, and k among the first n - ceil(t n) + k. That is used three times:
 
 1. Order of hashes, k = ``SHARE`` of n: a class can only have a partner if k of its prefix shingles stand in another
    class too. Shingles are sent in packed blocks; those that two classes of one block hold are counted at once and sent
@@ -19,14 +19,16 @@ pair, long lists in square blocks of at most ``BLOCK`` classes a side, inside wh
 only a spanning forest leaves. No pair inside a component and no pair that doesn't link leaves a long list. Nothing is
 capped or sampled.
 
-Defined results: null and empty texts, and texts without words, have an empty set and link with nothing; with one or two
-words the whole sequence is one shingle; rows with null ids get component null and link with nothing; repeated rows are
+Defined results: null and empty texts, and texts without words, have an empty set and link with nothing; with fewer
+words than a shingle has, the whole sequence is one shingle; rows with null ids get component null and link with nothing; repeated rows are
 in one component; rows with one id are one document with several texts. Other columns are passed over; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import Words, cut, mix, slices
 
-#: The threshold in percent; prefix shingles that must be shared in the first filter, as a share of the set.
-PERCENT, SHARE = 90, 0.15
+#: Prefix shingles that must be shared in the first filter, as a share of the set.
+SHARE = 0.15
 #: Shingles in a part of the first filter, classes in a short list, classes in a block of a long one.
 PART, SHORT, BLOCK = 1_000_000, 64, 512
 #: Rows of classes that may be broadcast (two longs each).
@@ -44,20 +46,39 @@ BROADCAST = 1_000_000
 _I64 = np.int64
 
 
+@dataclass(frozen=True)
+class Likeness:
+    """Words in a shingle, and the threshold in percent."""
+
+    words: int = 5
+    percent: int = 80
+
+    def links(self, shared, both):
+        """Whether sets that share so many link; ``both``: the sum of their sizes."""
+        return shared * (100 + self.percent) >= both * self.percent
+
+    def need(self, n: np.ndarray) -> np.ndarray:
+        return -(-self.percent * n // 100)
+
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """The first filter's prefix of sets of n."""
+        return np.minimum(n, n - self.need(n) + np.maximum(1, (SHARE * n).astype(_I64)))
+
+
 class Sets:
     """The sets of some texts: all shingles by text, ascending in each."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, words: int):
         w = Words(texts, lower=True)
-        place, h = w.runs(3)
+        place, h = w.runs(words)
         doc = w.doc[place]
-        short = np.flatnonzero((w.count > 0) & (w.count < 3))
+        short = np.flatnonzero((w.count > 0) & (w.count < words))
         if len(short):
-            first = w.word_at[short]
-            two = w.count[short] == 2
-            second = np.where(two, w.hash[np.minimum(first + 1, len(w.hash) - 1)], 0)
-            h = np.concatenate([h, mix(w.hash[first] * np.uint64(0x9FB21C651E98DF25) + second * two.astype(np.uint64) + w.count[short].astype(np.uint64))])
-            doc = np.concatenate([doc, short])
+            whole = w.count[short].astype(np.uint64)
+            for i in range(words - 1):
+                has = w.count[short] > i
+                whole = np.where(has, mix(whole + w.hash[np.minimum(w.word_at[short] + i, len(w.hash) - 1)]), whole)
+            h, doc = np.concatenate([h, whole]), np.concatenate([doc, short])
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         new = np.ones(len(h), bool)
@@ -76,34 +97,27 @@ class Sets:
         return out.view(_I64)
 
 
-def prefix_sizes(n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Of sets of n: the first filter's prefix, and how many of it must be shared."""
-    need = -(-percent * n // 100)
-    k = np.maximum(1, (SHARE * n).astype(_I64))
-    return np.minimum(n, n - need + k), np.maximum(1, (SHARE * need).astype(_I64))
-
-
-def _describe(docs: DataFrame, id_column: str) -> DataFrame:
+def _describe(docs: DataFrame, id_column: str, like: Likeness) -> DataFrame:
     """(id, n, k1, k2) of every row."""
 
     def run(batches):
         for batch in batches:
             for i, j in slices(batch.column(1)):
-                s = Sets(batch.column(1).slice(i, j - i))
+                s = Sets(batch.column(1).slice(i, j - i), like.words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s.n.astype(_I64)), pa.array(s.key(1)), pa.array(s.key(2))], names=["id", "n", "k1", "k2"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), "text").mapInArrow(run, f"id {kind}, n long, k1 long, k2 long")
 
 
-def _shared_counts(docs: DataFrame, id_column: str, parts: int) -> DataFrame:
+def _shared_counts(docs: DataFrame, id_column: str, like: Likeness, parts: int) -> DataFrame:
     """(k1, got): of each class at least as many of its prefix shingles as stand in another class's prefix."""
 
     def emit(batches):
         for batch in batches:
             for i, j in slices(batch.column(1)):
-                s = Sets(batch.column(1).slice(i, j - i))
-                size, _ = prefix_sizes(s.n)
+                s = Sets(batch.column(1).slice(i, j - i), like.words)
+                size = like.prefix(s.n)
                 inside = np.arange(len(s.h)) - s.at[s.doc] < size[s.doc]
                 h, k = s.h[inside].view(_I64), s.key(1)[s.doc[inside]]
                 order = np.lexsort((k, h))
@@ -150,39 +164,39 @@ def _shared_counts(docs: DataFrame, id_column: str, parts: int) -> DataFrame:
     return found.unionByName(sent.where("part < 0").select("h", "k").mapInArrow(direct, "k1 long, got long")).groupBy("k1").agg(F.sum("got").alias("got"))
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
+def _tokens(docs: DataFrame, like: Likeness) -> DataFrame:
     """(k1, n, toks) of rows (id, text)."""
 
     def run(batches):
         for batch in batches:
             for i, j in slices(batch.column(1)):
-                s = Sets(batch.column(1).slice(i, j - i))
+                s = Sets(batch.column(1).slice(i, j - i), like.words)
                 toks = pa.LargeListArray.from_arrays(pa.array(s.at), pa.array(s.h.view(_I64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(s.key(1)), pa.array(s.n.astype(_I64)), toks], names=["k1", "n", "toks"])
 
     return docs.select("id", "text").mapInArrow(run, "k1 long, n long, toks array<long>")
 
 
-def _similar(a: str, b: str) -> Column:
+def _similar(a: str, b: str, like: Likeness) -> Column:
     """Whether sizes allow a link, the other orders' prefixes meet, and the whole sets are similar enough; in that order."""
-    size = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * PERCENT
+    size = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * like.percent
     meet = F.arrays_overlap(f"{a}.p2", f"{b}.p2") & F.arrays_overlap(f"{a}.p3", f"{b}.p3")
     both = F.size(F.array_intersect(f"{a}.toks", f"{b}.toks"))
-    return F.when(size & meet, both * (100 + PERCENT) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * PERCENT).otherwise(False)
+    return F.when(size & meet, like.links(both, F.col(f"{a}.n") + F.col(f"{b}.n"))).otherwise(False)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     x = pairs.join(sets.alias("x"), pairs["a"] == F.col("x.k1"))
-    return x.join(sets.alias("y"), F.col("b") == F.col("y.k1")).where(_similar("x", "y")).select("a", "b")
+    return x.join(sets.alias("y"), F.col("b") == F.col("y.k1")).where(_similar("x", "y", like)).select("a", "b")
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(table: pa.Table, like: Likeness) -> pa.Table:
     """A spanning forest of the links between different components in one square of a long list."""
-    side, comp, n, key = (table[c].to_numpy() for c in ("side", "comp", "n", "k1"))
+    comp, n, key = (table[c].to_numpy() for c in ("comp", "n", "k1"))
     links = []
     if len(np.unique(comp)) > 1:
         lists = table["toks"].combine_chunks()
-        flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
+        flat = lists.flatten().to_numpy()
         row = np.repeat(np.arange(len(n)), n)
         words, col = np.unique(flat, return_inverse=True)
         shared = np.zeros((len(n), len(n)), np.float32)
@@ -191,7 +205,7 @@ def _block_links(table: pa.Table) -> pa.Table:
             m = np.zeros((len(n), min(4096, len(words) - lo)), np.float32)
             m[row[ok], col[ok] - lo] = 1
             shared += m @ m.T
-        i, j = np.nonzero((shared * (100 + PERCENT) >= (n[:, None] + n[None, :]) * PERCENT) & (comp[:, None] != comp[None, :]))
+        i, j = np.nonzero(like.links(shared.astype(_I64), n[:, None] + n[None, :]) & (comp[:, None] != comp[None, :]))
         parent = {c: c for c in np.unique(comp).tolist()}
 
         def top(c):
@@ -205,15 +219,14 @@ def _block_links(table: pa.Table) -> pa.Table:
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 links.append((key[p], key[q]))
-        del side, at
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _links(sets: DataFrame) -> DataFrame:
+def _links(sets: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) between classes enough to connect all that links connect. ``sets``: k1, rep, n, toks."""
     spread = sets.select("k1", F.explode("toks").alias("t"))
     common = spread.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    need = F.ceil(F.col("n") * PERCENT / 100)
+    need = F.ceil(F.col("n") * like.percent / 100)
     met = spread.join(common, "t").groupBy("k1").agg(F.collect_list(F.struct("df", "t")).alias("c"))
     # rare shingles of one class come first and leave so many places of the prefix
     full = sets.join(met, "k1").withColumn("room", (F.lit(1) - need + F.size("c")).cast("int")).where("room > 0")
@@ -230,37 +243,37 @@ def _links(sets: DataFrame) -> DataFrame:
         first = member.groupBy("t").agg(F.min(F.struct("rep", "k1")).alias("f"), F.count("*").alias("m")).where("m > 1").select("t", F.col("f.k1").alias("a"))
         stars.append(member.join(first, "t").where("k1 <> a").select("a", F.col("k1").alias("b")))
     pairs = stars[0].unionByName(stars[1]).unionByName(stars[2]).distinct()
-    near = cut(_verified(pairs, full))
+    near = cut(_verified(pairs, full, like))
     comp = components(near)
     lists = lists.join(comp.withColumnRenamed("node", "k1"), "k1", "left").withColumn("comp", F.coalesce("comp", "k1"))
     open_ = lists.groupBy("t").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t", "m")
     lists = cut(lists.join(open_, "t"))
     short = lists.where(F.col("m") <= SHORT)
     x, y = short.alias("x"), short.alias("y")
-    fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.k1") < F.col("y.k1"))
+    fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * like.percent) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.k1") < F.col("y.k1"))
     pairs = x.join(y, F.col("x.t") == F.col("y.t")).where(fits).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
-    far = _verified(pairs, full)
+    far = _verified(pairs, full, like)
     long = lists.where(F.col("m") > SHORT).withColumn("sides", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("k1"), F.col("sides").cast("long")).cast("int"))
     long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     long = long.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).select("t", "i", "j", "side", "comp", "k1")
-    square = long.join(full.select("k1", "n", "toks"), "k1").groupBy("t", "i", "j").applyInArrow(_block_links, "a long, b long")
+    square = long.join(full.select("k1", "n", "toks"), "k1").groupBy("t", "i", "j").applyInArrow(lambda t: _block_links(t, like), "a long, b long")
     return cut(near.unionByName(far).unionByName(square))
 
 
-def join(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def join(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id") -> DataFrame:
     """``id_column``, n_shingles and component_id of every row."""
-    rows = cut(_describe(docs, id_column))
+    rows = cut(_describe(docs, id_column, like))
     classes = cut(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
     total = classes.agg(F.sum("n").alias("s")).first()["s"] or 0
-    parts = max(8, int(total * (1.1 - PERCENT / 100 + SHARE)) // PART)
-    got = _shared_counts(docs.where(F.col(id_column).isNotNull()), id_column, parts)
-    enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) * SHARE))
+    parts = max(8, int(total * (1.1 - like.percent / 100 + SHARE)) // PART)
+    got = _shared_counts(docs.where(F.col(id_column).isNotNull()), id_column, like, parts)
+    enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * like.percent / 100) * SHARE))
     hopeful = cut(classes.join(got, "k1").where(F.col("got") >= enough).select("k1", "rep"))
     texts = docs.select(F.col(id_column).alias("id"), "text")
     ids = hopeful.select(F.col("rep").alias("id")).distinct()
     texts = texts.join(F.broadcast(ids) if hopeful.count() <= BROADCAST else ids, "id", "left_semi")
-    sets = cut(_tokens(texts).dropDuplicates(["k1"]).join(hopeful, "k1"))
-    comp = components(_links(sets)).select(F.col("node").alias("k1"), "comp")
+    sets = cut(_tokens(texts, like).dropDuplicates(["k1"]).join(hopeful, "k1"))
+    comp = components(_links(sets, like)).select(F.col("node").alias("k1"), "comp")
     # classes that share an id are linked by it only in name: each keeps its own component
     best = classes.join(comp, "k1").groupBy("comp").agg(F.min("rep").alias("best"))
     named = classes.join(comp, "k1", "left").join(best, "comp", "left").select("k1", "k2", F.coalesce("best", "rep").alias("component"))
@@ -269,9 +282,9 @@ def join(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
 
 
-def dedupe(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def dedupe(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it. Repeated rows of that id stay once; rows
     with null ids stay."""
-    keep = join(docs, id_column).where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
+    keep = join(docs, like, id_column).where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
     named = docs.where(F.col(id_column).isNotNull()).join(keep, id_column, "left_semi").select(docs.columns)
     return named.unionByName(docs.where(F.col(id_column).isNull()))

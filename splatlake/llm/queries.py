@@ -38,7 +38,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Likeness(words=3, percent=90))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
