@@ -1 +1 @@
-
+"""Operators over splat tables: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-
+"""Queries, presets and their plans."""

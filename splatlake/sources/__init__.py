@@ -1 +1 @@
-
+"""Readers and writers of splat files."""

@@ -1 +1 @@
-
+"""Structured Streaming over splat records and camera poses."""
