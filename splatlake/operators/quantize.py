@@ -55,7 +55,7 @@ def rotation_smallest3(df: DataFrame, bits: int = 10) -> DataFrame:
     d = d.withColumn("__tag", F.expr(X.largest(unit)))
     d = d.withColumns({f"__l{i}": F.expr(X.smallest3_level(o, bits)) for i, o in enumerate(X.others(unit, "__tag"))})
     d = d.withColumns({f"__v{i}": F.expr(X.smallest3_value(f"__l{i}", bits)) for i in range(3)})
-    d = d.withColumn("packed", F.expr(f"__l0 + __l1 * {1 << bits} + __l2 * {1 << 2 * bits} + __tag * {1 << 30}"))
+    d = d.withColumn("packed", F.expr(f"__l0 + __l1 * {1 << bits} + __l2 * {1 << 2 * bits} + cast(__tag as bigint) * {1 << 30}"))
     d = d.withColumns({c: F.expr(e) for c, e in zip(Q, X.rebuilt(["__v0", "__v1", "__v2"], "__tag"), strict=True)})
     return d.drop(*[c for c in d.columns if c.startswith("__")])
 
@@ -66,11 +66,9 @@ def dc_packed(df: DataFrame, bits: int = 8) -> DataFrame:
 
 def rest_ranges(df: DataFrame, percentile: float = 0.995) -> list[float]:
     """Of each rest channel the floor-rank percentile of sizes, 1e-9 at least."""
-    full = df.where("size(rest) >= 45")
-    n = full.count()
-    if not n:
-        return [1.0] * 45
-    return [max(stats.nth(full, f"abs(rest[{c}])", [min(int(percentile * n), n - 1)])[0], 1e-9) for c in range(45)]
+    long = df.where("size(rest) >= 45").select(F.posexplode(F.slice("rest", 1, 45)).alias("c", "v"))
+    top = stats.nth_each(long, "c", "abs(v)", percentile)
+    return [max(top[c], 1e-9) if top else 1.0 for c in range(45)]
 
 
 def rest(df: DataFrame, bits: int = 8, percentile: float = 0.995) -> DataFrame:

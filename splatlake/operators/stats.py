@@ -49,6 +49,35 @@ def nth(df: DataFrame, value: str, places: list[int]) -> list[float]:
     return out
 
 
+def nth_each(df: DataFrame, key: str, value: str, place: float) -> dict:
+    """Of each key the value at min(floor(place * n), n - 1) of its ascending order, exactly; all keys in the same passes.
+
+    Keys are few (channels); each has as many bins as fit in ``BINS * 8`` over all.
+    """
+    v = df.select(F.col(key).alias("k"), F.expr(value).cast("double").alias("v")).where("v is not null")
+    state = {r["k"]: [r["lo"], r["hi"], r["n"], min(int(place * r["n"]), r["n"] - 1)] for r in v.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).collect()}
+    few, bins = max(FEW // max(len(state), 1), 64), max(BINS * 8 // max(len(state), 1), 16)
+    while True:
+        table = F.broadcast(df.sparkSession.createDataFrame([(k, s[0], s[1]) for k, s in state.items()], f"k {df.schema[key].dataType.simpleString()}, lo double, hi double")) if state else None
+        if table is None:
+            return {}
+        inside = v.join(table, "k").where("v between lo and hi")
+        if all(s[0] == s[1] or s[2] <= few for s in state.values()):
+            break
+        b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+        for r in sorted(inside.groupBy("k", b.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).collect(), key=lambda r: r["b"]):
+            s = state[r["k"]]
+            if len(s) == 4 and s[3] >= r["n"]:
+                s[3] -= r["n"]
+            elif len(s) == 4:
+                s.append((r["a"], r["z"], r["n"]))
+        for s in state.values():
+            s[:] = [*s[4], s[3]]
+    out = {k: s[0] for k, s in state.items() if s[0] == s[1]}
+    left = inside.where("lo < hi").groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    return out | {r["k"]: r["v"][state[r["k"]][3]] for r in left.collect()}
+
+
 def upper_median(df: DataFrame, value: str) -> float:
     """xs[n // 2]."""
     n = df.where(F.expr(value).isNotNull()).count()

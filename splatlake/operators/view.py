@@ -33,9 +33,18 @@ class Camera:
         return {"clx": f"({X.num(2 * self.focal / self.width)} * vx)", "cly": f"({X.num(2 * self.focal / self.height)} * vy)", "clz": f"({X.num(a)} * vz + {X.num(b)})", "clw": "(-vz)"}
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a place that filters above aren't pushed through.
+
+    Pushing a filter through a projection copies its expressions into the filter; over several projections that build on
+    each other the copies multiply. A row number that is tested keeps the filter above.
+    """
+    return df.withColumn("__row", F.monotonically_increasing_id()).where("__row >= 0").drop("__row")
+
+
 def in_view(df: DataFrame, cam: Camera = Camera()) -> DataFrame:
     """``df`` with view, clip and device coordinates and the covariance."""
-    d = df.withColumns({k: F.expr(v) for k, v in (cam.to_view() | X.covariance()).items()})
+    d = settled(df.withColumns({k: F.expr(v) for k, v in (cam.to_view() | X.covariance()).items()}))
     d = d.withColumns({k: F.expr(v) for k, v in cam.clip().items()})
     inv = "(case when abs(clw) > 1e-12 then 1e0 / clw else 1e0 end)"
     return d.withColumns({"ndx": F.expr(f"clx * {inv}"), "ndy": F.expr(f"cly * {inv}"), "ndz": F.expr(f"clz * {inv}"), "depth": F.expr("-vz")})
@@ -96,7 +105,8 @@ def full_shape(cam: Camera) -> dict[str, str]:
 
 def cull(df: DataFrame, cam: Camera = Camera(), tau: float = 1 / 255) -> DataFrame:
     """Splats that cover half a pixel at opacity ``tau`` or more, by the simplified projection."""
-    d = in_view(df, cam).where(f"opacity >= {X.num(tau)} and depth > 0e0").withColumns({k: F.expr(v) for k, v in fast_shape(cam).items()})
+    d = in_view(df, cam).where(f"opacity >= {X.num(tau)} and depth > 0e0")
+    d = settled(d.withColumns({k: F.expr(v) for k, v in fast_shape(cam).items()}))
     _, big = _two("c00", "c01", "c11")
     return d.withColumn("r_max", F.expr(f"sqrt(greatest({big}, 0e0)) * sqrt(2e0 * greatest(ln(opacity / {X.num(tau)}), 0e0))")).where("r_max >= 0.5e0")
 
@@ -104,7 +114,7 @@ def cull(df: DataFrame, cam: Camera = Camera(), tau: float = 1 / 255) -> DataFra
 def project(df: DataFrame, cam: Camera = Camera()) -> DataFrame:
     """``df`` with ndx, ndy, the 2-D covariance, radius (0 behind or outside) and depth."""
     d = in_view(df, cam).withColumn("behind", F.expr(f"depth <= 1e-4 or not {IN_FRUSTUM}"))
-    d = d.withColumns({k: F.expr(f"case when behind then 0e0 else {v} end") for k, v in full_shape(cam).items()})
+    d = settled(d.withColumns({k: F.expr(f"case when behind then 0e0 else {v} end") for k, v in full_shape(cam).items()}))
     _, big = _two("c00", "c01", "c11")
     return d.withColumn("radius", F.expr(f"case when behind then 0e0 else least(2.5e0 * sqrt(greatest({big}, 0e0)), {X.num(max(cam.width, cam.height) * 0.5)}) end"))
 
@@ -113,9 +123,9 @@ def tile_bins(df: DataFrame, cam: Camera = Camera(), tile: int = 16, sigma: floa
     """(splat_id, tile, ...) of splats with weight that touch at least half a pixel and at most 4096, for every tile their
     box meets; of a tile's list the first ``most`` by id, where a limit is given."""
     d = in_view(df, cam).where("depth > 0e0").withColumn("w_d", F.expr(f"greatest(0e0, 1e0 - depth / {X.num(max(sigma, 1e-6))})")).where("w_d > 0e0")
-    d = d.withColumns({k: F.expr(v) for k, v in fast_shape(cam).items()})
+    d = settled(d.withColumns({k: F.expr(v) for k, v in fast_shape(cam).items()}))
     det, big = _two("c00", "c01", "c11", "1e-6")
-    d = d.withColumns({"det": F.expr(det), "radius": F.expr(f"3e0 * sqrt(greatest({big}, 0e0))"), "px": F.expr(f"(ndx * 0.5e0 + 0.5e0) * {X.num(cam.width)}"), "py": F.expr(f"(1e0 - (ndy * 0.5e0 + 0.5e0)) * {X.num(cam.height)}")}).where("radius >= 0.5e0")
+    d = settled(d.withColumns({"det": F.expr(det), "radius": F.expr(f"3e0 * sqrt(greatest({big}, 0e0))"), "px": F.expr(f"(ndx * 0.5e0 + 0.5e0) * {X.num(cam.width)}"), "py": F.expr(f"(1e0 - (ndy * 0.5e0 + 0.5e0)) * {X.num(cam.height)}")})).where("radius >= 0.5e0")
     d = d.withColumns(
         {
             "x0": F.expr("cast(greatest(0e0, floor(px - ceil(radius))) as bigint)"),
@@ -123,7 +133,8 @@ def tile_bins(df: DataFrame, cam: Camera = Camera(), tile: int = 16, sigma: floa
             "x1": F.expr(f"cast(least({X.num(cam.width - 1)}, ceil(px + ceil(radius))) as bigint)"),
             "y1": F.expr(f"cast(least({X.num(cam.height - 1)}, ceil(py + ceil(radius))) as bigint)"),
         }
-    ).where("x0 <= x1 and y0 <= y1 and (x1 - x0 + 1) * (y1 - y0 + 1) <= 4096")
+    )
+    d = settled(d).where("x0 <= x1 and y0 <= y1 and (x1 - x0 + 1) * (y1 - y0 + 1) <= 4096")
     across = -(-cam.width // tile)
     d = d.withColumn("tx", F.explode(F.sequence(F.expr(f"x0 div {tile}"), F.expr(f"x1 div {tile}")))).withColumn("ty", F.explode(F.sequence(F.expr(f"y0 div {tile}"), F.expr(f"y1 div {tile}"))))
     d = d.withColumn("tile", F.col("ty") * across + F.col("tx"))
