@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from ..operators.graph import components
 from .shared import Words, cut, mix, slices
 
 #: Prefix shingles that must be shared in the first filter, as a share of the set.
@@ -110,8 +110,38 @@ def _describe(docs: DataFrame, id_column: str, like: Likeness) -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), "text").mapInArrow(run, f"id {kind}, n long, k1 long, k2 long")
 
 
+def _packed(group: np.ndarray, x: np.ndarray, y: np.ndarray, names: tuple[str, str, str]) -> dict:
+    """Rows (group, bytes of x, bytes of y), one for each value of ``group``."""
+    order = np.argsort(group, kind="stable")
+    group, x, y = group[order], x[order].astype(_I64), y[order].astype(_I64)
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    edges = [0, *cuts.tolist(), len(group)] if len(group) else [0]
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    return {names[0]: group[[i for i, _ in spans]], names[1]: pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()), names[2]: pa.array([y[i:j].tobytes() for i, j in spans], pa.binary())}
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), _I64) for x in column])
+
+
+def _distinct(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by (h, k), and whether h stands with another k too."""
+    order = np.lexsort((k, h))
+    h, k = h[order], k[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    h, k = h[new], k[new]
+    many = np.zeros(len(h), bool)
+    many[1:] = h[1:] == h[:-1]
+    many[:-1] |= many[1:]
+    return h, k, many
+
+
 def _shared_counts(docs: DataFrame, id_column: str, like: Likeness, parts: int) -> DataFrame:
-    """(k1, got): of each class at least as many of its prefix shingles as stand in another class's prefix."""
+    """(k1, got): of each class at least as many of its prefix shingles as stand in another class's prefix.
+
+    Shingles meet in parts by hash, counts in buckets by class; both travel packed, a row for each block and part.
+    """
 
     def emit(batches):
         for batch in batches:
@@ -119,49 +149,28 @@ def _shared_counts(docs: DataFrame, id_column: str, like: Likeness, parts: int)
                 s = Sets(batch.column(1).slice(i, j - i), like.words)
                 size = like.prefix(s.n)
                 inside = np.arange(len(s.h)) - s.at[s.doc] < size[s.doc]
-                h, k = s.h[inside].view(_I64), s.key(1)[s.doc[inside]]
-                order = np.lexsort((k, h))
-                h, k = h[order], k[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-                h, k = h[new], k[new]
-                again = np.zeros(len(h), bool)
-                again[1:] = h[1:] == h[:-1]
-                many = again.copy()
-                many[:-1] |= again[1:]
+                h, k, many = _distinct(s.h[inside].view(_I64), s.key(1)[s.doc[inside]])
                 # held by two classes here: counted now; one entry, class 0, tells the other blocks
                 who, got = np.unique(k[many], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"part": np.full(len(who) and 1, -1, _I64), "h": pa.array([who.tobytes()] * (len(who) and 1), pa.binary()), "k": pa.array([got.astype(_I64).tobytes()] * (len(who) and 1), pa.binary())})
-                h, k = np.concatenate([h[~many], h[many & ~again]]), np.concatenate([k[~many], np.zeros((many & ~again).sum(), _I64)])
-                part = (h.view(np.uint64) % np.uint64(parts)).astype(_I64)
-                order = np.argsort(part, kind="stable")
-                h, k, part = h[order], k[order], part[order]
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                ends = np.append(cuts[1:], len(part))
-                yield pa.RecordBatch.from_pydict({"part": part[cuts], "h": pa.array([h[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), "k": pa.array([k[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
-
-    def reduce(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_py(), _I64) for x in table["h"]])
-        k = np.concatenate([np.frombuffer(x.as_py(), _I64) for x in table["k"]])
-        order = np.lexsort((k, h))
-        h, k = h[order], k[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-        h, k = h[new], k[new]
-        same = np.zeros(len(h), bool)
-        same[1:] = h[1:] == h[:-1]
-        same[:-1] |= same[1:]
-        who, got = np.unique(k[same & (k != 0)], return_counts=True)
-        return pa.table({"k1": who, "got": got.astype(_I64)})
-
-    def direct(batches):
-        for batch in batches:
-            for who, got in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_pydict({"k1": np.frombuffer(who.as_py(), _I64), "got": np.frombuffer(got.as_py(), _I64)})
-
-    sent = cut(docs.select(F.col(id_column).alias("id"), "text").mapInArrow(emit, "part long, h binary, k binary"))
-    found = sent.where("part >= 0").groupBy("part").applyInArrow(reduce, "k1 long, got long")
-    return found.unionByName(sent.where("part < 0").select("h", "k").mapInArrow(direct, "k1 long, got long")).groupBy("k1").agg(F.sum("got").alias("got"))
+                told = np.unique(h[many])
+                yield pa.RecordBatch.from_pydict(_packed(-1 - who % parts, who, got, ("part", "x", "y")))
+                h, k = np.concatenate([h[~many], told]), np.concatenate([k[~many], np.zeros(len(told), _I64)])
+                yield pa.RecordBatch.from_pydict(_packed((h.view(np.uint64) % np.uint64(parts)).astype(_I64), h, k, ("part", "x", "y")))
+
+    def meet(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        if part < 0:
+            return pa.table({"bucket": pa.array([-1 - part] * len(table), pa.int64()), "k": table["x"], "got": table["y"]})
+        h, k, many = _distinct(_numbers(table["x"]), _numbers(table["y"]))
+        who, got = np.unique(k[many & (k != 0)], return_counts=True)
+        return pa.table(_packed(who % parts, who, got, ("bucket", "k", "got")))
+
+    def total(table: pa.Table) -> pa.Table:
+        who, at = np.unique(_numbers(table["k"]), return_inverse=True)
+        return pa.table({"k1": who, "got": np.bincount(at, weights=_numbers(table["got"])).astype(_I64)})
+
+    sent = docs.select(F.col(id_column).alias("id"), "text").mapInArrow(emit, "part long, x binary, y binary")
+    return sent.groupBy("part").applyInArrow(meet, "bucket long, k binary, got binary").groupBy("bucket").applyInArrow(total, "k1 long, got long")
 
 
 def _tokens(docs: DataFrame, like: Likeness) -> DataFrame:
