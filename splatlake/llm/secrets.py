@@ -124,14 +124,14 @@ def train(spark: SparkSession) -> str:
 
 
 def scan(docs: DataFrame, forest: str) -> DataFrame:
-    """``docs`` with ``__p`` and ``findings``: start, length, kind, key, value, score of every candidate."""
+    """``docs`` with ``__p`` and ``__found``: start, length, kind, key, value, score of every candidate."""
     d = candidates(docs)
-    return d.withColumn("findings", F.expr(f"transform(__c, c -> named_struct('start', c.start, 'length', char_length(c.value), 'kind', c.kind, 'key', c.key, 'value', c.value, 'score', cast({forest} as double)))")).drop("__c", "__m")
+    return d.withColumn("__found", F.expr(f"transform(__c, c -> named_struct('start', c.start, 'length', char_length(c.value), 'kind', c.kind, 'key', c.key, 'value', c.value, 'score', cast({forest} as double)))")).drop("__c", "__m")
 
 
 def secrets(docs: DataFrame, forest: str, id_column: str = "doc_id") -> DataFrame:
     """One row for each secret found: ``id_column``, start, length, kind, score and the value's sha256."""
-    found = scan(docs.select(id_column, "text"), forest).select(id_column, F.explode(F.filter("findings", lambda x: x["score"] >= 0.5)).alias("x"))
+    found = scan(docs.select(id_column, "text"), forest).select(id_column, F.explode(F.filter("__found", lambda x: x["score"] >= 0.5)).alias("x"))
     return found.select(id_column, "x.start", F.col("x.length").cast("long").alias("length"), "x.kind", "x.score", F.sha2("x.value", 256).alias("value_sha256"))
 
 
@@ -139,5 +139,5 @@ def redact(docs: DataFrame, forest: str) -> DataFrame:
     """``docs`` with every secret of ``text`` replaced by the placeholder."""
     d = scan(docs, forest)
     said = f"concat(x.key, case when x.score >= 0.5 then '{PLACEHOLDER}' else x.value end)"
-    whole = F.expr(f"case when exists(findings, x -> x.score >= 0.5) then array_join(zip_with(__p, concat(transform(findings, x -> {said}), array('')), (p, r) -> concat(p, r)), '') else text end")
+    whole = F.expr(f"case when exists(__found, x -> x.score >= 0.5) then array_join(zip_with(__p, concat(transform(__found, x -> {said}), array('')), (p, r) -> concat(p, r)), '') else text end")
     return d.withColumn("text", whole).select(docs.columns)

@@ -82,7 +82,8 @@ def propagate(nodes: DataFrame, links: DataFrame, k: int, rounds: int = ROUNDS)
         linked = linked.join(near, linked["node"] == near["a"]).select("node", "size", F.least("seed", "near").alias("seed"))
     linked = cut(linked.select("node", "size", F.xxhash64("seed").alias("seed")))
     line = places(linked, "seed", "node", "size")
-    state = cut(line.select("node", "size", F.least(F.floor(F.col("at") / max(FILL * quota, 1.0)), F.lit(k - 1)).cast("int").alias("shard")))
+    step = max(FILL * quota, (linked.agg(F.sum("size").alias("s")).first()["s"] or 0) / k, 1.0)
+    state = cut(line.select("node", "size", F.least(F.floor(F.col("at") / step), F.lit(k - 1)).cast("int").alias("shard")))
     for r in range(rounds):
         state = _round(state, both, quota, k, r)
     loads = {r["shard"]: r["s"] for r in state.groupBy("shard").agg(F.sum("size").alias("s")).collect()}

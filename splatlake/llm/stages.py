@@ -23,8 +23,12 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.learn(docs, F.lit(True))
     if not model.languages:
         return docs
-    named = language.predict(docs, model, docs.columns[0], tuple(docs.columns[1:]))
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= CLEAR)).select(docs.columns)
+    # columns travel under other names, so that none clashes with what the operator adds
+    other = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(c).alias(n) for c, n in other.items()], "text")
+    first, *rest = other.values()
+    named = language.predict(plain, model, first, tuple(rest))
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= CLEAR)).select(*[F.col(n).alias(c) for c, n in other.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
