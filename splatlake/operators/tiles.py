@@ -117,7 +117,7 @@ def activation(chunks: DataFrame, cameras: DataFrame, thresholds: list[float], f
     ``chunks``: chunk, level, centroid m_x..m_z, radius; ``cameras``: camera, ex, ey, ez.
     """
     dist = "sqrt((m_x - ex) * (m_x - ex) + (m_y - ey) * (m_y - ey) + (m_z - ez) * (m_z - ez))"
-    d = chunks.crossJoin(F.broadcast(cameras)).withColumn("dist", F.expr(dist))
+    d = chunks.crossJoin(cameras).withColumn("dist", F.expr(dist))
     level = f"(size(filter(array({', '.join(X.num(t) for t in thresholds)}), t -> greatest(dist - radius, 0e0) >= t)) - 1)"
     look = f"({X.num(focal)} * radius / greatest(dist, 1e-3) < {X.num(size)})"
     d = d.withColumn("chosen", F.expr(f"case when {look} and {level} + 1 < {len(thresholds)} then {level} + 1 else {level} end"))
@@ -130,7 +130,7 @@ def near_far(chunks: DataFrame, cameras: DataFrame) -> DataFrame:
     Two running minima per camera; no chunk list is sorted.
     """
     d2 = F.expr("(m_x - ex) * (m_x - ex) + (m_y - ey) * (m_y - ey) + (m_z - ez) * (m_z - ez)")
-    d = chunks.crossJoin(F.broadcast(cameras)).select("camera", F.struct(d2.alias("d"), F.col("chunk").alias("chunk")).alias("s"))
+    d = chunks.crossJoin(cameras).select("camera", F.struct(d2.alias("d"), F.col("chunk").alias("chunk")).alias("s"))
     near = d.groupBy("camera").agg(F.min("s").alias("near"))
-    far = d.join(F.broadcast(near), "camera").where("s > near").groupBy("camera").agg(F.min("s").alias("far"))
+    far = d.join(near, "camera").where("s > near").groupBy("camera").agg(F.min("s").alias("far"))
     return near.join(far, "camera", "left").select("camera", F.col("near.chunk").alias("near"), F.coalesce("far.chunk", "near.chunk").alias("far"))

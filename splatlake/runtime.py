@@ -11,8 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: Rows in an Arrow batch where the session has Spark's own number: texts and vectors make wide rows.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 2000
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Puts the package's folder on the Python path of the workers."""
+    """Puts the package's folder on the Python path of the workers, and bounds Arrow batches."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, ROWS)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
