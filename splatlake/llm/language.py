@@ -153,17 +153,18 @@ def learn(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> Model:
     return Model(languages, weights.astype(np.float32), scripts >= np.maximum(WRITTEN * scripts.sum(1, keepdims=True), 1))
 
 
-def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", keep: tuple[str, ...] = (), spans: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", keep: tuple[str, ...] = (), spans: bool = False, text_column: str = "text") -> DataFrame:
     """``id_column``, the ``keep`` columns, lang_pred and score; with ``spans`` also spans of (start, stop, lang) in code points."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [id_column, *keep]
+    sent = columns if text_column in columns else [*columns, text_column]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double" + ", spans array<struct<start:long,stop:long,lang:string>>" * spans
 
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
-            column = batch.column(len(columns))
+            column = batch.column(sent.index(text_column))
             for i, j in slices(column):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
                 x = Letters(texts)
@@ -185,4 +186,4 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", keep: tupl
                     out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))))
                 yield pa.RecordBatch.from_arrays(out, names=[*columns, "lang_pred", "score", *(["spans"] * spans)])
 
-    return docs.select(*columns, docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)

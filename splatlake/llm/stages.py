@@ -25,9 +25,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs
     # columns travel under other names, so that none clashes with what the operator adds
     other = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.select(*[F.col(c).alias(n) for c, n in other.items()], "text")
+    plain = docs.select(*[F.col(c).alias(n) for c, n in other.items()])
     first, *rest = other.values()
-    named = language.predict(plain, model, first, tuple(rest))
+    named = language.predict(plain, model, first, tuple(rest), text_column=other["text"])
     return named.where((F.col("lang_pred") != "und") & (F.col("score") >= CLEAR)).select(*[F.col(n).alias(c) for c, n in other.items()])
 
 
