@@ -83,4 +83,54 @@ ORACLE_SQL: dict[str, str] = {
             cast(sum(escaped + 17) as bigint) as formatted_chars
         from e group by conv_id
     """,
+    "op4_quality_rules": r"""
+        with d as (
+            select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+        ), p as (
+            select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word, w from d
+        ), windows as (
+            select doc_id, i, array_to_string(w[i:i + 7], ' ') as seven from p where i + 7 <= len(w)
+        ), twice as (
+            select doc_id, i from windows qualify count(*) over (partition by doc_id, seven) > 1
+        ), inside as (
+            select doc_id, count(distinct i + j) as n from twice, (select unnest(range(8)) as j) group by doc_id
+        ), stutter as (
+            select doc_id, count(*) as n from (select doc_id, word = lag(word) over (partition by doc_id order by i) as same from p) where same group by doc_id
+        ), lines as (
+            select doc_id, unnest(string_split(t, chr(10))) as line from d
+        ), again as (
+            select doc_id, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id
+        ), m as (
+            select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+                coalesce(again.n, 0) as n_dup_lines, coalesce(inside.n, 0) as n_repeat_words, coalesce(stutter.n, 0) as n_stutters,
+                length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper,
+                length(regexp_replace(t, '[^A-Za-z]', '', 'g')) + strlen(t) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) as n_letters,
+                length(regexp_replace(t, '[^!?]', '', 'g')) as n_cries
+            from d left join inside using (doc_id) left join stutter using (doc_id) left join again using (doc_id)
+        )
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
+            not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or word_chars < 2 * n_words or word_chars > 15 * n_words
+                or n_symbols > 0.15e0 * n_words or n_upper > 0.25e0 * n_letters or n_cries > 0.25e0 * n_words
+                or 2 * n_letters < word_chars or n_stutters > 0.15e0 * n_words or 2 * n_dup_lines > 1 + n_words // 5) as kept
+        from m
+    """,
+    "op5_jaccard": r"""
+        with recursive d as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), sets as (
+            select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from d
+        ), e as (
+            select doc_id, len(s) as n, unnest(s) as g from sets
+        ), both_ as (
+            select a.doc_id as a, b.doc_id as b, any_value(a.n) + any_value(b.n) as n, count(*) as k from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+        ), links as (
+            select a, b from both_ where 100 * k >= 90 * (n - k)
+        ), reach as (
+            select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a
+        )
+        select s.doc_id, any_value(len(s)) as n_shingles, min(b) as component_id from sets s join reach on a = s.doc_id group by s.doc_id
+    """,
 }

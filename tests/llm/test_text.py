@@ -255,12 +255,14 @@ def test_chat_round_trip(spark):
         assert masked.replace("\\b", "[").replace("\\l", "<").replace("\\z", "\\") == loss
 
 
-def test_chat_oracle(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracle(spark, name):
     c = duckdb.connect()
-    c.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
-    want = c.execute(queries.ORACLE_SQL["op3_chat"])
+    for t in ("documents", "conversations"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = c.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in want.description]
-    assert sorted(map(tuple, queries.op3_chat(spark, SF).select(names).collect())) == sorted(want.fetchall())
+    assert sorted(map(tuple, queries.QUERIES[name](spark, SF).select(names).collect())) == sorted(want.fetchall())
 
 
 def test_mixing(spark):
