@@ -128,7 +128,7 @@ _PIXEL = "splat_id // 64 as frame, (splat_id % 64) // 8 as block, 255e0 * opacit
 query("block_ssim", f"with p as (select {_PIXEL} from xl), g as (select frame, block, avg(a) as ma, avg(b) as mb, avg(a * a) as aa, avg(b * b) as bb, avg(a * b) as ab from p group by frame, block) select frame, {r(f'avg({_SSIM})', 5)} as ssim from g group by frame")(
     lambda load: load("xl").selectExpr(*[e.replace("//", "div") for e in _PIXEL.split(", 2")[0].split(", ")], *["2" + e for e in _PIXEL.split(", 2")[1:]]).groupBy("frame", "block").agg(*[F.expr(f"avg({e})").alias(n) for n, e in {"ma": "a", "mb": "b", "aa": "a * a", "bb": "b * b", "ab": "a * b"}.items()]).groupBy("frame").agg(F.expr(r(f"avg({_SSIM})", 5)).alias("ssim"))
 )
-query("leaderboard_rollup", f"with {_CELLS} select preset, scene, count(*) as n, {r('avg(value)', 5)} as mean from ce group by rollup (preset, scene)")(lambda load: _cells(load).rollup("preset", "scene").agg(F.count("*").alias("n"), F.expr(r("avg(value)", 5)).alias("mean")))
+query("leaderboard_rollup", f"with {_CELLS} select preset, scene, count(*) as n, {r('sum(value)', 4)} as total from ce group by rollup (preset, scene)")(lambda load: _cells(load).rollup("preset", "scene").agg(F.count("*").alias("n"), F.expr(r("sum(value)", 4)).alias("total")))
 query("encoders_union", "select distinct n_name as name from (select n_name from nation union all select r_name from region)")(lambda load: load("nation").selectExpr("n_name as name").union(load("region").selectExpr("r_name as name")).distinct())
 query("unknown_attributes", "select n_name as name from nation where n_regionkey not in (select r_regionkey from region where r_regionkey < 3)")(lambda load: load("nation").join(F.broadcast(load("region").where("r_regionkey < 3")), F.col("n_regionkey") == F.col("r_regionkey"), "left_anti").selectExpr("n_name as name"))
 query("windowed_events", "select cast(time_bucket(interval '1 day', ts) as timestamp) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")(
