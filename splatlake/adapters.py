@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import exprs as X
-from .runtime import ready
+from .runtime import ready, settled
 
 #: Places of a record's parts in a vector of 64: name, first element (from 0).
 _PARTS = {"x": 0, "y": 1, "z": 2, "f_dc_0": 3, "f_dc_1": 4, "f_dc_2": 5}
@@ -69,9 +69,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == source:
         return table
     if name == "xl":
-        return spark.sql(XL.replace("from orders", "from {orders}"), orders=table)
+        return settled(spark.sql(XL.replace("from orders", "from {orders}"), orders=table))
     raw = spark.sql(RAW["spark"].replace("from embeddings", "from {embeddings}"), embeddings=table)
-    return raw if name == "raw" else activate(raw)
+    return raw if name == "raw" else settled(activate(raw))
 
 
 def activate(raw: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..runtime import settled
 
 #: Fixed value: what is added to both variances of a projected splat.
 DILATION = 0.3
@@ -33,15 +34,6 @@ class Camera:
         return {"clx": f"({X.num(2 * self.focal / self.width)} * vx)", "cly": f"({X.num(2 * self.focal / self.height)} * vy)", "clz": f"({X.num(a)} * vz + {X.num(b)})", "clw": "(-vz)"}
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a place that filters above aren't pushed through.
-
-    Pushing a filter through a projection copies its expressions into the filter; over several projections that build on
-    each other the copies multiply. A row number that is tested keeps the filter above.
-    """
-    return df.withColumn("__row", F.monotonically_increasing_id()).where("__row >= 0").drop("__row")
-
-
 def in_view(df: DataFrame, cam: Camera = Camera()) -> DataFrame:
     """``df`` with view, clip and device coordinates and the covariance."""
     d = settled(df.withColumns({k: F.expr(v) for k, v in (cam.to_view() | X.covariance()).items()}))

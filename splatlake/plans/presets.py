@@ -105,9 +105,15 @@ def with_rate_distortion(steps: list[Step], keep: float) -> list[Step]:
     return [steps[0], rd, *steps[1:]]
 
 
+#: Operators that read their input several times.
+SEVERAL_PASSES = {"morton", "rate_distortion", "floaters", "bundle", "rest", "rest_dct"}
+
+
 def run(df: DataFrame, steps: list[Step]) -> DataFrame:
-    """The steps in order; narrow steps fuse into one stage."""
+    """The steps in order; narrow steps fuse into one stage. What several passes read is computed once and cut."""
     for name, options in steps:
+        if name in SEVERAL_PASSES:
+            df = cut(df)
         df = OPERATORS[name](df, **options)
     return df
 
