@@ -3,7 +3,7 @@
 Each of ``TABLES`` tables rotates unit vectors by three rounds of random signs and the fast Hadamard transform, and
 hashes a vector to the nearest signed axis. A query looks into the buckets of its ``PROBES`` nearest axes in every table.
 Bucket members travel in packs of at most about ``PACK`` vectors, as bytes; a pack of points meets each pack of queries
-that look into its bucket, the products of the two are taken at once, and only the ``k`` best of each query leave: no
+that look into its bucket, the products of the two are taken at once, and only the ``k`` best ids of each query leave: no
 pair of vectors is ever a row, and a bucket with a third of all vectors is just more packs. Scores are cosines in double
 precision of the original vectors, summed row by row, so equal vectors score equally in any pack. Queries that found
 fewer than ``k`` are searched exactly, in blocks.
@@ -60,16 +60,36 @@ def buckets(x: np.ndarray, table: int, probes: int = 1) -> np.ndarray:
     return np.argsort(-both, 1, kind="stable")[:, : min(probes, both.shape[1])]
 
 
+def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by id, without repeated rows of equal id and vector."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    if np.any(ids[1:] == ids[:-1]):
+        raw = np.ascontiguousarray(np.concatenate([ids.astype(np.int64)[:, None].view(np.uint8), np.ascontiguousarray(x).view(np.uint8)], 1))
+        first = np.sort(np.unique(raw.view(f"V{raw.shape[1]}")[:, 0], return_index=True)[1])
+        ids, x = ids[first], x[first]
+    return ids, x
+
+
 def _best(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, point id, score) of the k best points of each query; never its own id."""
+    """(query id, point id, score) of the k best ids of each query, each by its best row; never its own id."""
+    (q_ids, q), (p_ids, p) = _once(q_ids, q), _once(p_ids, p)
     q, p = q.astype(np.float64), p.astype(np.float64)
     qn, pn = np.sqrt((q * q).sum(1)), np.sqrt((p * p).sum(1))
     rough = (q / qn[:, None]) @ (p / pn[:, None]).T
     rough[q_ids[:, None] == p_ids[None, :]] = -np.inf
-    n = min(k, len(p))
-    bar = np.partition(rough, len(p) - n, 1)[:, len(p) - n] - 1e-12
+    starts = np.flatnonzero(np.diff(p_ids, prepend=p_ids[0] - 1))
+    by_id = rough if len(starts) == len(p) else np.maximum.reduceat(rough, starts, 1)
+    n = min(k, len(starts))
+    bar = np.partition(by_id, len(starts) - n, 1)[:, len(starts) - n] - 1e-12
     i, j = np.nonzero((rough >= bar[:, None]) & np.isfinite(rough))
     exact = (q[i] * p[j]).sum(1) / (qn[i] * pn[j])
+    if len(starts) < len(p):
+        order = np.lexsort((-exact, p_ids[j], i))
+        i, j, exact = i[order], j[order], exact[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (p_ids[j[1:]] != p_ids[j[:-1]])
+        i, j, exact = i[new], j[new], exact[new]
     order = np.lexsort((p_ids[j], -exact, i))
     i, j, exact = i[order], j[order], exact[order]
     place = np.arange(len(i)) - np.searchsorted(i, i)

@@ -61,6 +61,17 @@ def test_few_and_none(spark):
     assert neighbours.search(df, F.col("id") == 77).count() == 0
 
 
+def test_repeated_ids_leave_room(spark):
+    near = [(i, [1.0, 0.01 * i]) for i in range(1, 8)]
+    far = [(20 + i, [1.0, 0.9 + 0.01 * i]) for i in range(6)]
+    rows = [(0, [1.0, 0.0]), *[(1, [1.0, 0.01])] * 7, *[(2, [1.0, 0.02 + 0.001 * i]) for i in range(7)], *near[2:], *far]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert [v for v, _ in listed(neighbours.search(df, F.col("id") == 0))[0]] == [1, 2, 3, 4, 5]
+    points = neighbours.valid(df, "vec_id", "embedding").coalesce(1)
+    got = listed(neighbours.exact(points, points.where("id = 0"), 5))[0]
+    assert [v for v, _ in got] == [1, 2, 3, 4, 5] and got[1][1] == pytest.approx(1 / np.hypot(1, 0.02), abs=1e-12)
+
+
 def test_hadamard_keeps_length():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(neighbours.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))
