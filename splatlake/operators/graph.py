@@ -1,4 +1,4 @@
-"""Connected components by min labels with pointer jumping."""
+"""Connected components by min labels, hooked labels and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, comp) of all nodes of ``links`` (a, b); comp is the smallest node reachable.
 
-    Each round takes the smallest label of a node's neighbours, then that label's own label; labels are cut each round.
+    Each round takes the smallest label of a node's neighbours, hooks each label to the smallest label that any of its
+    members took, then takes that label's own label. Whole clusters move at once, so rounds grow with the logarithm of a
+    chain's length; they go on until nothing changes. Labels are cut each round.
     """
     both = cut(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
     state = cut(state)
-    for _ in range(rounds):
+    while True:
         near = both.join(state.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = state.join(near, state["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = step.select(F.col("node").alias("n"), F.col("comp").alias("next"))
+        told = F.inline(F.array(F.struct(F.col("node").alias("n"), F.col("comp").alias("next")), F.struct(F.col("old").alias("n"), F.col("comp").alias("next"))))
+        jump = step.select(told).groupBy("n").agg(F.min("next").alias("next"))
         new = cut(step.join(jump, step["comp"] == jump["n"]).select("node", "old", F.least("comp", "next").alias("comp")))
         state = new.select("node", "comp")
         if not new.where("old <> comp").limit(1).count():
             return state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -85,6 +85,16 @@ def test_components(spark):
     assert {r["comp"] for r in graph.components(path).collect()} == {0}
 
 
+def test_components_of_long_chains(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "cut", lambda df, f=graph.cut: rounds.append(1) or f(df))
+    ids = np.random.default_rng(5).permutation(600).tolist()
+    links = spark.createDataFrame([*zip(ids[:399], ids[1:400]), *zip(ids[400:-1], ids[401:])], "a long, b long")
+    got = {r["node"]: r["comp"] for r in graph.components(links).collect()}
+    assert got == {v: min(part) for part in (ids[:400], ids[400:]) for v in part}
+    assert len(rounds) <= 2 + 15
+
+
 def test_merge_is_beer_lambert(spark):
     df, _ = scene(spark, 2)
     df = df.withColumns({c: F.lit(0.1) for c in ("x", "y", "z", "sx", "sy", "sz", "dc0", "dc1", "dc2")}).withColumn("opacity", F.when(F.col("splat_id") == 0, 0.5).otherwise(0.2)).withColumn("label", F.lit(1))
