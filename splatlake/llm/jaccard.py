@@ -97,17 +97,18 @@ class Sets:
         return out.view(_I64)
 
 
-def _describe(docs: DataFrame, id_column: str, like: Likeness) -> DataFrame:
-    """(id, n, k1, k2) of every row."""
+def _describe(docs: DataFrame, id_column: str, like: Likeness, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n, k1, k2) of every row, and the longs ``more``."""
 
     def run(batches):
         for batch in batches:
             for i, j in slices(batch.column(1)):
                 s = Sets(batch.column(1).slice(i, j - i), like.words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s.n.astype(_I64)), pa.array(s.key(1)), pa.array(s.key(2))], names=["id", "n", "k1", "k2"])
+                rest = [batch.column(2 + c).slice(i, j - i) for c in range(len(more))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s.n.astype(_I64)), pa.array(s.key(1)), pa.array(s.key(2)), *rest], names=["id", "n", "k1", "k2", *more])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), "text").mapInArrow(run, f"id {kind}, n long, k1 long, k2 long")
+    return docs.select(F.col(id_column).alias("id"), "text", *more).mapInArrow(run, ", ".join([f"id {kind}, n long, k1 long, k2 long", *[f"{c} long" for c in more]]))
 
 
 def _packed(group: np.ndarray, x: np.ndarray, y: np.ndarray, names: tuple[str, str, str]) -> dict:
@@ -269,20 +270,27 @@ def _links(sets: DataFrame, like: Likeness) -> DataFrame:
     return cut(near.unionByName(far).unionByName(square))
 
 
-def join(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id") -> DataFrame:
-    """``id_column``, n_shingles and component_id of every row."""
-    rows = cut(_describe(docs, id_column, like))
-    classes = cut(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+def _solved(docs: DataFrame, rows: DataFrame, id_column: str, like: Likeness, nulls: bool) -> tuple[DataFrame, DataFrame]:
+    """Classes (k1, k2, rep, n) of ``rows``, and (k1, comp) of those with links. With ``nulls`` rows with null ids take part."""
+    classes = cut(rows.where("n > 0" if nulls else "n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
     total = classes.agg(F.sum("n").alias("s")).first()["s"] or 0
     parts = max(8, int(total * (1.1 - like.percent / 100 + SHARE)) // PART)
-    got = _shared_counts(docs.where(F.col(id_column).isNotNull()), id_column, like, parts)
+    got = _shared_counts(docs if nulls else docs.where(F.col(id_column).isNotNull()), id_column, like, parts)
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * like.percent / 100) * SHARE))
     hopeful = cut(classes.join(got, "k1").where(F.col("got") >= enough).select("k1", "rep"))
-    texts = docs.select(F.col(id_column).alias("id"), "text")
-    ids = hopeful.select(F.col("rep").alias("id")).distinct()
-    texts = texts.join(F.broadcast(ids) if hopeful.count() <= BROADCAST else ids, "id", "left_semi")
+    every = docs.select(F.col(id_column).alias("id"), "text")
+    ids = hopeful.where("rep is not null").select(F.col("rep").alias("id")).distinct()
+    texts = every.join(F.broadcast(ids) if hopeful.count() <= BROADCAST else ids, "id", "left_semi")
+    if nulls and hopeful.where("rep is null").limit(1).count():
+        texts = texts.unionByName(every.where("id is null"))
     sets = cut(_tokens(texts, like).dropDuplicates(["k1"]).join(hopeful, "k1"))
-    comp = components(_links(sets, like)).select(F.col("node").alias("k1"), "comp")
+    return classes, components(_links(sets, like)).select(F.col("node").alias("k1"), "comp")
+
+
+def join(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id") -> DataFrame:
+    """``id_column``, n_shingles and component_id of every row."""
+    rows = cut(_describe(docs, id_column, like))
+    classes, comp = _solved(docs, rows, id_column, like, False)
     # classes that share an id are linked by it only in name: each keeps its own component
     best = classes.join(comp, "k1").groupBy("comp").agg(F.min("rep").alias("best"))
     named = classes.join(comp, "k1", "left").join(best, "comp", "left").select("k1", "k2", F.coalesce("best", "rep").alias("component"))
@@ -292,8 +300,19 @@ def join(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id"
 
 
 def dedupe(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it. Repeated rows of that id stay once; rows
-    with null ids stay."""
-    keep = join(docs, like, id_column).where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    named = docs.where(F.col(id_column).isNotNull()).join(keep, id_column, "left_semi").select(docs.columns)
-    return named.unionByName(docs.where(F.col(id_column).isNull()))
+    """``docs`` with one row of each component: of its smallest id, null ids last, ties by hashes of the row.
+
+    Here rows with null ids take part. Components are of texts: unlike texts of one id stay, each once. Rows with empty
+    sets have no group: one of each id stays, and all with null ids.
+    """
+    blank = F.col(id_column).isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = docs.where(~blank).withColumns({f"__h{i}": F.xxhash64(F.lit(i), F.col(id_column).isNull(), *hashed) for i in (1, 2)})
+    rows = cut(_describe(marked, id_column, like, ("__h1", "__h2")))
+    _, comp = _solved(docs.where(~blank), rows, id_column, like, True)
+    full = F.col("n") > 0
+    group = [F.when(full, F.coalesce("comp", "k1")), F.when(full & F.col("comp").isNull(), F.col("k2")), F.when(~full, F.col("id"))]
+    best = F.min(F.struct(F.col("id").isNull(), "id", "__h1", "__h2"))
+    keep = rows.join(comp, "k1", "left").groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(best.alias("b")).select("b.__h1", "b.__h2")
+    named = marked.join(keep, ["__h1", "__h2"], "left_semi").dropDuplicates(["__h1", "__h2"]).select(docs.columns)
+    return named.unionByName(docs.where(blank))

@@ -147,6 +147,18 @@ def test_jaccard_edges(spark):
     assert kept.columns == [f.name for f in SCHEMA] and kept.where("doc_id = 10").count() == 1
 
 
+def test_dedupe_keeps_one_row(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, near, b, c = " ".join(base), " ".join([*base[:-1], "end"]), " ".join(base[::-1]), " ".join(f"v{i}" for i in range(60))
+    c2 = c + " more"
+    rows = [(1, a), (1, a), (2, near), (None, a), (None, near), (0, b), (1, b), (None, c), (None, c), (None, c2), (7, None), (7, None), (8, " "), (None, ""), (None, None), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in jaccard.dedupe(d).collect())
+    lone = [t for i, t in got if i is None and t in (c, c2)]
+    assert len(lone) == 1
+    assert got == collections.Counter([(1, a), (0, b), (None, lone[0]), (7, None), (8, " "), (None, ""), (None, None), (None, None)])
+
+
 def test_language(spark):
     got = by_id(queries.op9_language(spark, SF))
     truth = dict(duckdb.sql(f"select doc_id, lang from '{SF}/documents.parquet'").fetchall())
