@@ -221,6 +221,9 @@ _PIX = ["px_x", "px_y", *rounded(("num_r", "num_g", "num_b", "den"), 5)]
 query("wsr_accumulate", f"with {_ACC} select {', '.join(_PIX)} from su")(lambda load: view.accumulate(view.tile_bins(load("xl").where("splat_id < 300"))).selectExpr(*_PIX))
 _RGBA = " + ".join(f"cast(floor(least(greatest(num_{c} / (0.1e0 + den), 0e0), 1e0) * 255e0 + 0.5e0) as bigint) * {m}" for c, m in (("r", 1), ("g", 256), ("b", 65536))) + " + 4278190080"
 query("wsr_resolve", f"with {_ACC} select px_x, px_y, {_RGBA} as rgba from su")(lambda load: view.resolve(view.accumulate(view.tile_bins(load("xl").where("splat_id < 300")))).select("px_x", "px_y", "rgba"))
+# the two above hold the operators against SQL on 300 ids, as the SQL product is large; these are the whole view
+query("wsr_accumulate_whole")(lambda load: view.accumulate(view.tile_bins(load("xl"))).selectExpr(*_PIX))
+query("wsr_resolve_whole")(lambda load: view.resolve(view.accumulate(view.tile_bins(load("xl")))).select("px_x", "px_y", "rgba"))
 query("prefix_sum_compact", "select splat_id, sum(case when opacity > 0.5e0 then 1 else 0 end) over (order by splat_id rows between unbounded preceding and 1 preceding) as slot0, opacity > 0.5e0 as alive from xl".replace("select splat_id, sum", "with s as (select splat_id, sum") + ") select splat_id, cast(coalesce(slot0, 0) as bigint) as slot from s where alive")(
     lambda load: stats.rank(load("xl").where("opacity > 0.5e0").select(ID), [ID], "slot")
 )

@@ -50,5 +50,21 @@ def test_partition_counts(spark, name):
     assert out[0] == out[1]
 
 
+@pytest.mark.parametrize("name", ["wsr_accumulate", "wsr_resolve"])
+def test_whole_view(spark, duck, name):
+    # the twin's text over all ids: every splat at every pixel
+    text = registry.oracle_sql()[name]
+    assert "splat_id < 300 and " in text
+    got = duck.execute(text.replace("splat_id < 300 and ", ""))
+    columns = [d[0] for d in got.description]
+    want = {(r[columns.index("px_x")], r[columns.index("px_y")]): r for r in got.fetchall()}
+    df = registry.queries()[f"{name}_whole"](spark, SF).select(columns)
+    part = registry.queries()[name](spark, SF).select(columns)
+    rows_ = df.collect()
+    assert len(rows_) == len(want) and rows(df) != rows(part)
+    for r in rows_:
+        assert list(r) == pytest.approx(list(want[r["px_x"], r["px_y"]]), abs=2e-5)
+
+
 def test_flagship(spark):
     assert registry.flagship(spark, SF).count() > 0
