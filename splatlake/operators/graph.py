@@ -1,4 +1,4 @@
-"""Connected components by min labels, hooked labels and pointer jumping."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
@@ -8,22 +8,46 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes of ``links`` (a, b); comp is the smallest node reachable.
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+
+
+def _round(edges: DataFrame, salt: int) -> DataFrame:
+    """(node, root) of the nodes of ``edges``: the first node by hash within two links."""
+    rank = F.struct(F.xxhash64("b", F.lit(salt)).alias("h"), F.col("b").alias("v"))
+    own = F.struct(F.xxhash64("a", F.lit(salt)).alias("h"), F.col("a").alias("v"))
+    near = _both(edges).groupBy("a").agg(F.min(F.least(rank, own)).alias("m"))
+    far = _both(edges).join(near.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
+    return cut(far.select(F.col("a").alias("node"), F.col("m.v").alias("root")))
+
 
-    Each round takes the smallest label of a node's neighbours, hooks each label to the smallest label that any of its
-    members took, then takes that label's own label. Whole clusters move at once, so rounds grow with the logarithm of a
-    chain's length; they go on until nothing changes. Labels are cut each round.
+def clusters(links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of ``links`` (a, b); nodes have one root if and only if links connect them.
+
+    Each round gives a node the first node within two links, by a hash that changes from round to round, and goes on with
+    the links between those. A star of any size is gone after one round; of a chain about a third of the nodes is left,
+    whatever their ids. Rounds go on until no link is left, so there are about log3 of the longest chain. What links and
+    roots there are is cut each round.
     """
-    both = cut(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
-    state = cut(state)
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = cut(links.where("a <> b").select(*pair).distinct())
+    state, salt = None, 0
     while True:
-        near = both.join(state.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = state.join(near, state["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        told = F.inline(F.array(F.struct(F.col("node").alias("n"), F.col("comp").alias("next")), F.struct(F.col("old").alias("n"), F.col("comp").alias("next"))))
-        jump = step.select(told).groupBy("n").agg(F.min("next").alias("next"))
-        new = cut(step.join(jump, step["comp"] == jump["n"]).select("node", "old", F.least("comp", "next").alias("comp")))
-        state = new.select("node", "comp")
-        if not new.where("old <> comp").limit(1).count():
+        step = _round(edges, salt)
+        if state is None:
+            state = step
+        else:
+            again = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            state = cut(state.join(again, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        ends = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        edges = cut(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").select(*pair).distinct())
+        if edges.isEmpty():
             return state
+        salt += 1
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp) of all nodes of ``links`` (a, b); comp is the smallest node reachable."""
+    state = clusters(links)
+    first = state.groupBy("root").agg(F.min("node").alias("comp"))
+    return state.join(first, "root").select("node", "comp")
