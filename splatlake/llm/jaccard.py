@@ -5,19 +5,20 @@ sets are one class. Two classes link when 100 * |intersection| >= percent * |uni
 links: the smallest id reachable. Below, t is percent / 100.
 
 If two sets are that similar, then under every global order of shingles they share one among the first
-n - ceil(t n) + 1 of each, and k among the first n - ceil(t n) + k. That is used three times:
+n - ceil(t n) + 1 of each, and k among the first n - ceil(t n) + k. Four orders are used:
 
 1. Order of hashes, k = ``SHARE`` of n: a class can only have a partner if k of its prefix shingles stand in another
    class too. Shingles are sent in packed blocks; those that two classes of one block hold are counted at once and sent
    no further, so a frequent shingle costs a block one entry. Most classes end here.
 2. Among the rest: rarest first, ties by hash. Shingles of one class only can't be shared, so they just use up the prefix.
-3. The same with ties by other hashes, twice more: candidates must share prefix shingles under all three orders.
+   Classes that share a prefix shingle are in one list.
+3. By another hash, ascending, and 4. descending. A pair of one list is a candidate only if its prefixes meet under both
+   of these too; only then whole sets are compared.
 
-Candidates come first as stars: every class of a shingle's list with the list's smallest. Verified links give components;
-only lists with two components or more are looked at again, pairs of different components alone: short lists pair by
-pair, long lists in square blocks of at most ``BLOCK`` classes a side, inside which products of whole sets find links and
-only a spanning forest leaves. No pair inside a component and no pair that doesn't link leaves a long list. Nothing is
-capped or sampled.
+Pairs come first as stars: every class of a list with the list's smallest. Links found give components; only lists with
+two components or more are looked at again, pairs of different components alone: short lists pair by pair, long lists in
+blocks, where members of the list's largest component don't meet each other and only a spanning forest leaves. Nothing
+is capped or sampled. Frequent shingles are joined by broadcast: of R rows at most ``HOT`` keys have R / ``HOT`` or more.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with nothing; with fewer
 words than a shingle has, the whole sequence is one shingle; rows with null ids get component null and link with nothing; repeated rows are
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import clusters
 from .shared import Words, cut, mix, slices
 
 #: Prefix shingles that must be shared in the first filter, as a share of the set.
 SHARE = 0.15
-#: Shingles in a part of the first filter, classes in a short list, classes in a block of a long one.
-PART, SHORT, BLOCK = 1_000_000, 64, 512
+#: Shingles in a part of the first filter, classes in a short list, classes and shingles on a side of a block of a long one.
+PART, SHORT, BLOCK, WORDS = 1_000_000, 64, 512, 500_000
+#: Keys that may be broadcast as frequent ones.
+HOT = 20_000
 #: Rows of classes that may be broadcast (two longs each).
 BROADCAST = 1_000_000
 _I64 = np.int64
@@ -187,8 +190,22 @@ def _tokens(docs: DataFrame, like: Likeness) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "k1 long, n long, toks array<long>")
 
 
+def _lookup(rows: DataFrame, found: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``found``, one row for each ``key``, where ``n`` counts the rows that hold it.
+
+    Of ``total`` rows no more than ``HOT`` keys can stand in more than ``total / HOT`` rows each: these are broadcast, so
+    that no frequent key meets in one task; the others go by a shuffle.
+    """
+    bar = max(64, total // HOT)
+    hot = found.where(F.col(n) > bar)
+    told = rows.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"__{c}") for c in found.columns if c != key])), key, "left")
+    often = told.where(F.col(f"__{n}").isNotNull()).select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in found.columns if c != key])
+    rest = told.where(F.col(f"__{n}").isNull()).select(*rows.columns).join(found.where(F.col(n) <= bar), key)
+    return often.unionByName(rest.select(*often.columns))
+
+
 def _similar(a: str, b: str, like: Likeness) -> Column:
-    """Whether sizes allow a link, the other orders' prefixes meet, and the whole sets are similar enough; in that order."""
+    """Whether sizes allow a link, the prefixes under the other orders meet, and the sets are similar enough; in that order."""
     size = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * like.percent
     meet = F.arrays_overlap(f"{a}.p2", f"{b}.p2") & F.arrays_overlap(f"{a}.p3", f"{b}.p3")
     both = F.size(F.array_intersect(f"{a}.toks", f"{b}.toks"))
@@ -196,78 +213,119 @@ def _similar(a: str, b: str, like: Likeness) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """The ``pairs`` (a, b and more), which share a shingle of the first order's prefix, that link."""
     x = pairs.join(sets.alias("x"), pairs["a"] == F.col("x.k1"))
-    return x.join(sets.alias("y"), F.col("b") == F.col("y.k1")).where(_similar("x", "y", like)).select("a", "b")
-
-
-def _block_links(table: pa.Table, like: Likeness) -> pa.Table:
-    """A spanning forest of the links between different components in one square of a long list."""
-    comp, n, key = (table[c].to_numpy() for c in ("comp", "n", "k1"))
-    links = []
-    if len(np.unique(comp)) > 1:
-        lists = table["toks"].combine_chunks()
-        flat = lists.flatten().to_numpy()
-        row = np.repeat(np.arange(len(n)), n)
-        words, col = np.unique(flat, return_inverse=True)
-        shared = np.zeros((len(n), len(n)), np.float32)
-        for lo in range(0, len(words), 4096):
-            ok = (col >= lo) & (col < lo + 4096)
-            m = np.zeros((len(n), min(4096, len(words) - lo)), np.float32)
-            m[row[ok], col[ok] - lo] = 1
-            shared += m @ m.T
-        i, j = np.nonzero(like.links(shared.astype(_I64), n[:, None] + n[None, :]) & (comp[:, None] != comp[None, :]))
-        parent = {c: c for c in np.unique(comp).tolist()}
-
-        def top(c):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = top(comp[p].item()), top(comp[q].item())
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((key[p], key[q]))
+    return x.join(sets.alias("y"), F.col("b") == F.col("y.k1")).where(_similar("x", "y", like)).select(*pairs.columns)
+
+
+def _shared(lists: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values the lists ``left`` share with the lists ``right``."""
+    size = np.diff(lists.offsets.to_numpy())
+    words, col = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    row, at = np.repeat(np.arange(len(lists)), size), np.full((2, len(lists)), -1)
+    at[0, left], at[1, right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(words), 4096):
+        ok = (col >= lo) & (col < lo + 4096)
+        width, sides = min(4096, len(words) - lo), []
+        for side, n in ((0, len(left)), (1, len(right))):
+            m = np.zeros((n, width), np.float32)
+            mine = ok & (at[side, row] >= 0)
+            m[at[side, row[mine]], col[mine] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def block_links(table: pa.Table, like: Likeness) -> pa.Table:
+    """A spanning forest of the links between different components (a, b) in one block of a long list.
+
+    Rows marked ``asks`` meet those that aren't; pairs whose prefixes under the other orders don't meet aren't verified.
+    """
+    comp, n, asks = (table[c].to_numpy() for c in ("comp", "n", "asks"))
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    small, large = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
+    maybe = (comp[left][:, None] != comp[right][None, :]) & (small * 100 >= large * like.percent)
+    for p in ("p2", "p3", "toks"):
+        if not maybe.any():
+            break
+        i, j = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+        left, right, maybe = left[i], right[j], maybe[np.ix_(i, j)]
+        lists = table[p].combine_chunks()
+        used = np.union1d(left, right)
+        shared = _shared(lists.take(pa.array(used)), np.searchsorted(used, left), np.searchsorted(used, right)).astype(_I64)
+        maybe &= shared > 0 if p != "toks" else like.links(shared, n[left][:, None] + n[right][None, :])
+    links, parent = [], {c: c for c in np.unique(comp).tolist()}
+
+    def top(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    for p, q in zip(*(x.tolist() for x in np.nonzero(maybe)), strict=True):
+        a, b = top(comp[left[p]].item()), top(comp[right[q]].item())
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((comp[left[p]].item(), comp[right[q]].item()))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _links(sets: DataFrame, like: Likeness) -> DataFrame:
-    """Links (a, b) between classes enough to connect all that links connect. ``sets``: k1, rep, n, toks."""
+def long_blocks(lists: DataFrame) -> DataFrame:
+    """The blocks (t, i, j) in which the classes of long lists (t, m, k1, n, comp) meet: rows with ``asks`` or without.
+
+    Members of a list's largest component need not meet each other. All other members ask; every member answers. A list
+    with o askers among m members gives about 2 o m / ``BLOCK`` rows, so an outlier beside a large component gives about m.
+    """
+    per = lists.groupBy("t", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    per = per.groupBy("t").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.max("c").alias("most"), F.sum("s").alias("words"))
+    sides = lambda count: F.greatest(F.lit(1), F.ceil(F.greatest(count / BLOCK, F.col("words") * count / F.col("all") / WORDS))).cast("long")
+    per = per.select("t", "top", sides(F.col("all") - F.col("most")).alias("g"), sides(F.col("all")).alias("h"))
+    d = lists.join(per, "t").withColumns({"i": F.pmod(F.xxhash64("k1", F.lit(1)), F.col("g")), "j": F.pmod(F.xxhash64("k1", F.lit(2)), F.col("h"))})
+    asks = d.where("comp <> top").select("t", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - F.lit(1).cast("long"))).alias("j"), "k1", "comp", F.lit(True).alias("asks"))
+    answers = d.select("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - F.lit(1).cast("long"))).alias("i"), "j", "k1", "comp", F.lit(False).alias("asks"))
+    return asks.unionByName(answers)
+
+
+def _connected(sets: DataFrame, like: Likeness) -> DataFrame:
+    """(k1, comp) of classes: equal ``comp`` where links connect them. ``sets``: k1, rep, n, toks."""
+    total = sets.agg(F.sum("n").alias("s")).first()["s"] or 0
     spread = sets.select("k1", F.explode("toks").alias("t"))
-    common = spread.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    common = cut(spread.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"))
     need = F.ceil(F.col("n") * like.percent / 100)
-    met = spread.join(common, "t").groupBy("k1").agg(F.collect_list(F.struct("df", "t")).alias("c"))
-    # rare shingles of one class come first and leave so many places of the prefix
+    met = _lookup(spread, common, "t", "df", total).groupBy("k1").agg(F.collect_list(F.struct("df", "t")).alias("c"))
+    # shingles of one class come first under every order, and leave so many places of the prefix
     full = sets.join(met, "k1").withColumn("room", (F.lit(1) - need + F.size("c")).cast("int")).where("room > 0")
 
-    def prefix(salt: int) -> Column:
-        order = F.array_sort(F.transform("c", lambda x: F.struct(x["df"], F.xxhash64(x["t"], F.lit(salt)).alias("o"), x["t"])))
-        return F.transform(F.slice(order, 1, F.col("room")), lambda x: x["t"])
-
-    full = cut(full.select("k1", "rep", "n", "toks", prefix(1).alias("p1"), prefix(2).alias("p2"), prefix(3).alias("p3")))
-    lists = cut(full.select("k1", "rep", "n", F.explode("p1").alias("t")))
-    stars = []
-    for p in ("p1", "p2", "p3"):
-        member = full.select("k1", "rep", F.explode(p).alias("t"))
-        first = member.groupBy("t").agg(F.min(F.struct("rep", "k1")).alias("f"), F.count("*").alias("m")).where("m > 1").select("t", F.col("f.k1").alias("a"))
-        stars.append(member.join(first, "t").where("k1 <> a").select("a", F.col("k1").alias("b")))
-    pairs = stars[0].unionByName(stars[1]).unionByName(stars[2]).distinct()
-    near = cut(_verified(pairs, full, like))
-    comp = components(near)
-    lists = lists.join(comp.withColumnRenamed("node", "k1"), "k1", "left").withColumn("comp", F.coalesce("comp", "k1"))
-    open_ = lists.groupBy("t").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t", "m")
-    lists = cut(lists.join(open_, "t"))
-    short = lists.where(F.col("m") <= SHORT)
-    x, y = short.alias("x"), short.alias("y")
+    def prefix(*order: Column | str) -> Column:
+        by = F.array_sort(F.transform("c", lambda x: F.struct(*[f(x).alias(f"o{i}") for i, f in enumerate(order)], x["t"].alias("t"))))
+        return F.transform(F.slice(by, 1, F.col("room")), lambda x: x["t"])
+
+    rarest = prefix(lambda x: x["df"], lambda x: F.xxhash64(x["t"], F.lit(1)))
+    up, down = prefix(lambda x: F.xxhash64(x["t"], F.lit(2))), prefix(lambda x: F.bitwise_not(F.xxhash64(x["t"], F.lit(2))))
+    full = cut(full.select("k1", "rep", "n", "toks", rarest.alias("p1"), up.alias("p2"), down.alias("p3")))
+    member = full.select("k1", "rep", "n", F.explode("p1").alias("t"))
+    first = member.groupBy("t").agg(F.min(F.struct("rep", "k1")).alias("f"), F.count("*").alias("m")).where("m > 1").select("t", "m", F.col("f.k1").alias("a"))
+    stars = _lookup(member.select("k1", "t"), cut(first), "t", "m", total).where("k1 <> a").select("a", F.col("k1").alias("b")).distinct()
+    near = clusters(_verified(stars, full, like)).select(F.col("node").alias("k1"), F.col("root").alias("comp"))
+    named = cut(full.select("k1", "n", "p1").join(near, "k1", "left").withColumn("comp", F.coalesce("comp", "k1")))
+    member = named.select("k1", "n", "comp", F.explode("p1").alias("t"))
+    open_ = cut(member.groupBy("t").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t", "m"))
+    lists = cut(_lookup(member, open_, "t", "m", total))
+    x, y = (lists.where(F.col("m") <= SHORT).alias(c) for c in "xy")
     fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * like.percent) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.k1") < F.col("y.k1"))
-    pairs = x.join(y, F.col("x.t") == F.col("y.t")).where(fits).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
-    far = _verified(pairs, full, like)
-    long = lists.where(F.col("m") > SHORT).withColumn("sides", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("k1"), F.col("sides").cast("long")).cast("int"))
-    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    long = long.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).select("t", "i", "j", "side", "comp", "k1")
-    square = long.join(full.select("k1", "n", "toks"), "k1").groupBy("t", "i", "j").applyInArrow(lambda t: _block_links(t, like), "a long, b long")
-    return cut(near.unionByName(far).unionByName(square))
+    pairs = x.join(y, F.col("x.t") == F.col("y.t")).where(fits).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
+    far = _verified(pairs, full, like).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    long = lists.where(F.col("m") > SHORT)
+    if not long.isEmpty():
+        blocks = long_blocks(long).join(full.select("k1", "n", "p2", "p3", "toks"), "k1")
+        far = far.unionByName(blocks.groupBy("t", "i", "j").applyInArrow(lambda t: block_links(t, like), "a long, b long"))
+    named = named.select("k1", "comp")
+    far = cut(far)
+    if far.isEmpty():
+        return named
+    more = clusters(far).select(F.col("node").alias("comp"), "root")
+    return named.join(more, "comp", "left").select("k1", F.coalesce("root", "comp").alias("comp"))
 
 
 def _solved(docs: DataFrame, rows: DataFrame, id_column: str, like: Likeness, nulls: bool) -> tuple[DataFrame, DataFrame]:
@@ -284,7 +342,7 @@ def _solved(docs: DataFrame, rows: DataFrame, id_column: str, like: Likeness, nu
     if nulls and hopeful.where("rep is null").limit(1).count():
         texts = texts.unionByName(every.where("id is null"))
     sets = cut(_tokens(texts, like).dropDuplicates(["k1"]).join(hopeful, "k1"))
-    return classes, components(_links(sets, like)).select(F.col("node").alias("k1"), "comp")
+    return classes, cut(_connected(sets, like))
 
 
 def join(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id") -> DataFrame:

@@ -137,6 +137,15 @@ def test_jaccard(spark, monkeypatch, words, percent, short):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == plain_components(texts, words, percent)
 
 
+def test_outlier_beside_a_large_component(spark):
+    members = spark.range(5000).selectExpr("id as k1", "50L as n", "if(id = 0, -1L, 1L) as comp", "7L as t", "5000L as m")
+    rows = jaccard.long_blocks(members)
+    assert rows.count() <= 5000 + 5000 // jaccard.BLOCK + 2
+    asked = {(r["i"], r["j"]) for r in rows.where("asks").collect()}
+    assert all((r["i"], r["j"]) in asked for r in rows.where("not asks").collect())
+    assert {r["k1"] for r in rows.where("asks").collect()} == {0}
+
+
 def test_jaccard_edges(spark):
     d = docs(spark, ["a b c d", "x y z w", None])
     assert jaccard.join(d.limit(0)).count() == 0
