@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from splatlake.llm import stages
 from splatlake.llm.shared import table
-from splatlake.runtime import cut
+from splatlake.runtime import remove, shared_folder
 
 STAGES = [
     ("language_id", stages.identify),
@@ -25,11 +25,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Each result is written as Parquet to the shared checkpoint folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    cut(spark.range(1))  # names the checkpoint folder where none is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``. Each result is written as Parquet to the shared checkpoint folder and read again;
+    a stage's table is removed once the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, f"{folder}/{last}")
+        last = name
     return docs
