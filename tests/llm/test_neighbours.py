@@ -1,5 +1,7 @@
 """Nearest neighbours against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -42,6 +44,42 @@ def test_recall(spark):
         assert found == sorted(found, key=lambda p: (-p[1], p[0]))
 
 
+def unstructured(n):
+    x = np.random.default_rng(5).normal(size=(n, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_concatenated_hashes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SLOT", 8)
+    x = unstructured(4000)
+    assert len(neighbours.chain(4000, 64)) > 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got, want = listed(neighbours.search(df, F.col("id") % 50 == 0)), plain(np.arange(4000), x, range(0, 4000, 50))
+    assert sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in want) >= 0.85 * 5 * len(want)
+
+
+def test_candidates_grow_less_than_the_table(monkeypatch):
+    monkeypatch.setattr(neighbours, "SLOT", 8)
+    met = []
+    for n in (4000, 32_000):
+        x, axes = unstructured(n), neighbours.chain(n, 64)
+        seen = np.zeros((40, n), bool)
+        for t in range(neighbours.TABLES):
+            looks, stands = neighbours.buckets(x[:40], t, axes, neighbours.probes_of(axes)), neighbours.buckets(x, t, axes)[:, 0]
+            seen |= np.stack([np.isin(stands, row) for row in looks])
+        met.append(seen.sum(1).mean())
+    assert met[1] < 5 * met[0]
+
+
+def test_equal_vectors_take_little_memory():
+    x = np.tile(unstructured(1), (4096, 1))
+    tracemalloc.start()
+    a, b, _ = neighbours._best(np.arange(1024), x[:1024], np.arange(4096), x, 5)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert len(a) == 5 * 1024 and b[:5].tolist() == [1, 2, 3, 4, 5] and b[-5:].tolist() == [0, 1, 2, 3, 4]
+
+
 def test_ties_packs_and_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PACK", 16)
     rng = np.random.default_rng(1)
