@@ -16,12 +16,17 @@ ROOT = str(Path(__file__).resolve().parents[1])
 #: Rows in an Arrow batch where the session has Spark's own number: texts and vectors make wide rows.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS = 2000
+#: Characters of a plan's text that the driver keeps for each query and each of its re-plans, where the session has no bound.
+PLAN = "spark.sql.maxPlanStringLength"
+TEXT = 100_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Puts the package's folder on the Python path of the workers, and bounds Arrow batches."""
+    """Puts the package's folder on the Python path of the workers, and bounds Arrow batches and plan texts."""
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, ROWS)
+    if int(spark.conf.get(PLAN)) > 1 << 30:
+        spark.conf.set(PLAN, TEXT)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
