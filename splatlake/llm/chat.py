@@ -8,7 +8,7 @@ message it is about by its ordinal (``msg``, ``part``):
 * ``edit``: its text replaced,
 * ``regenerate``: its text dropped and every later message that existed by then withdrawn; deltas that follow rebuild it.
 
-``blocks`` renders messages with a template, in blocks of at most ``BLOCK`` messages of one conversation, and gives the
+``blocks`` renders messages with a template, in blocks of ``BLOCK`` successive ordinals of one conversation, and gives the
 loss mask as spans of the rendered text; ``render`` joins the blocks to one text for each conversation. ``read_back``
 parses rendered blocks again.
 
@@ -17,7 +17,8 @@ becomes ``\\l`` and ``[`` becomes ``\\b``, so no control string can stand inside
 text back. The loss mask holds each assistant text.
 
 A conversation may hold a third of all events: the fold is by message, running maxima and sums go block by block first,
-and only finished block texts meet in one row, which is the result's own size.
+and only finished block texts meet in one row, which is the result's own size. Messages that share one ordinal (rows of
+equal turn) are in one block.
 
 Defined results: null text or role is empty; null ``seq`` or ``msg`` come first; null conversations are one conversation;
 events with equal ``seq`` go by kind, then text; an unknown kind is passed over. An empty log gives an empty result.
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Messages in a block.
+#: Ordinals in a block.
 BLOCK = 256
 #: The template's control strings.
 OPEN, MIDDLE, CLOSE = "[INST]", "[/INST]", "</s>"

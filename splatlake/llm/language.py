@@ -1,8 +1,9 @@
 """Language identification: scripts narrow the candidates, Viterbi labels the words.
 
 A model holds, for every language, the log-likelihoods of letter trigrams (hashed to a fixed number of buckets) and the
-scripts its letters are in. Of a text, every run of letters is a word; a word's script leaves only languages written in
-it; a Viterbi path over the words' scores, with a penalty for each switch, gives spans of one language. The prediction is
+scripts its letters are in. Scripts are ranges of code points, the runs of letters whose Unicode names begin with one
+script's name. Of a text, every run of letters is a word; a word's script leaves only languages written in it, and all
+where no language is; a Viterbi path over the words' scores, with a penalty for each switch, gives spans of one language. The prediction is
 the language with the most letters on the path, the score its share of the letters.
 
 A path without switch is optimal if no stretch of words gains more than its switches cost. That is tested on running
@@ -17,6 +18,7 @@ an empty table gives an empty result. Null languages are not learned. Ids may be
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,21 +39,49 @@ SWITCH = 15.0
 #: A language is written in a script that holds this share of its letters.
 WRITTEN = 0.02
 _BARRED = -60.0
-#: First code points of ranges of scripts (Unicode blocks).
-SCRIPTS = {"latin": (0x0041,), "greek": (0x0370, 0x1F00), "cyrillic": (0x0400,), "armenian": (0x0530,), "hebrew": (0x0590,), "arabic": (0x0600,), "indic": (0x0900,), "thai": (0x0E00,), "tibetan": (0x0F00,), "georgian": (0x10A0,), "hangul": (0x1100, 0xAC00), "ethiopic": (0x1200,), "latin_more": (0x1E00,), "kana": (0x3040,), "han": (0x3400,)}
-_tables: list[np.ndarray] = []
-
-
-def tables() -> list[np.ndarray]:
+#: Scripts that a model tells apart, at most; 0 stands for letters of no script of their own.
+SCRIPTS = 512
+#: First words of character names that say nothing of the script, and those that mean one script.
+_FORMS = ("HALFWIDTH", "FULLWIDTH", "SMALL", "VERTICAL", "CIRCLED")
+_NO_SCRIPT = ("MODIFIER", "MATHEMATICAL", "MASCULINE", "FEMININE", "MICRO", "KELVIN", "OHM", "ANGSTROM", "SCRIPT", "BLACK-LETTER", "DOUBLE-STRUCK")
+_SAME = {"HIRAGANA": "KANA", "KATAKANA": "KANA", "KATAKANA-HIRAGANA": "KANA", "IDEOGRAPHIC": "CJK"}
+_tables: list = []
+
+
+def script_of(letter: str) -> str:
+    """The script of a letter by its Unicode name, or ''."""
+    words = [w for w in unicodedata.name(letter, "").split(" ") if w not in _FORMS]
+    if not words or words[0] in _NO_SCRIPT:
+        return ""
+    return _SAME.get(words[0], words[0])
+
+
+def ranges() -> list[tuple[int, int, str]]:
+    """Script ranges (first, last, script): the runs of letters of one script."""
+    out: list[tuple[int, int, str]] = []
+    for i in range(0x110000):
+        if chr(i).isalpha():
+            name = script_of(chr(i))
+            if out and out[-1][1] == i - 1 and out[-1][2] == name:
+                out[-1] = (out[-1][0], i, name)
+            else:
+                out.append((i, i, name))
+    return out
+
+
+def tables() -> list:
     """For each code point: whether it is a letter, its lower case where that is one code point, its script."""
     if not _tables:
         n = 0x110000
-        letter = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
-        lower = np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(n)), np.uint32, n)
-        script = np.zeros(n, np.uint8)
-        names = list(SCRIPTS)
-        for start, name in sorted((s, name) for name, starts in SCRIPTS.items() for s in starts):
-            script[start:] = names.index("latin" if name == "latin_more" else name)
+        letter, script, names = np.zeros(n, bool), np.zeros(n, np.int16), {"": 0}
+        lower = np.arange(n, dtype=np.uint32)
+        for first, last, name in ranges():
+            letter[first : last + 1] = True
+            script[first : last + 1] = names.setdefault(name, len(names))
+        for i in np.flatnonzero(letter).tolist():
+            x = chr(i).lower()
+            if len(x) == 1:
+                lower[i] = ord(x)
         _tables.extend((letter, lower, script))
     return _tables
 
@@ -81,7 +111,10 @@ class Letters:
         self.doc = np.searchsorted(self.at, self.first, "right") - 1
         self.word_at = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         self.letter_script = script[self.points[where]]
-        self.script = self.letter_script[self.word]
+        # a word is in the script of its first letter that has one
+        own = np.where(self.letter_script > 0, np.arange(len(where)), len(where))
+        first = np.minimum.reduceat(own, self.word) if len(self.word) else own[:0]
+        self.script = np.append(self.letter_script, 0)[first]
 
 
 @dataclass
@@ -96,7 +129,7 @@ class Model:
             return np.zeros((0, len(self.languages)))
         out = np.stack([np.add.reduceat(w[x.bucket], x.word) for w in self.weights], 1).astype(np.float64)
         allowed = self.written.T[x.script]
-        allowed[~allowed.any(1)] = True
+        allowed[(x.script == 0) | ~allowed.any(1)] = True
         return np.where(allowed, out, out + _BARRED)
 
 
@@ -128,7 +161,7 @@ def learn(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> Model:
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS)), bool))
+        return Model([], np.zeros((0, BUCKETS)), np.zeros((0, SCRIPTS), bool))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_003)) / 1_000_003.0
     chance = F.lit(sample) / F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(n))]), F.col("lang"))
 
@@ -139,12 +172,12 @@ def learn(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> Model:
                 texts = batch.column(1).slice(i, j - i).to_pylist()
                 for name in sorted(set(lang[i:j])):
                     x = Letters([t for t, of in zip(texts, lang[i:j], strict=True) if of == name])
-                    both = np.concatenate([np.bincount(x.bucket, minlength=BUCKETS), np.bincount(x.letter_script, minlength=len(SCRIPTS))])
+                    both = np.concatenate([np.bincount(x.bucket, minlength=BUCKETS), np.bincount(x.letter_script, minlength=SCRIPTS)])
                     keys = np.flatnonzero(both)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(keys), pa.string()), "key": keys, "n": both[keys]})
 
     got = rows.where(draw < chance).select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(languages), BUCKETS + len(SCRIPTS)))
+    counts = np.zeros((len(languages), BUCKETS + SCRIPTS))
     if len(got):
         index = pc.index_in(got["lang"].combine_chunks(), pa.array(languages)).to_numpy(zero_copy_only=False)
         counts[index, got["key"].to_numpy()] = got["n"].to_numpy()

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy source schedule.
 
-Each source's documents are shuffled (by a hash of the id) into one stream of tokens, cut into blocks of equal token
+Each source's documents are shuffled (by a hash of id and text) into one stream of tokens, cut into blocks of equal token
 counts. Slot t of the schedule maps the golden-ratio point frac(t * 0.618...) through the cumulative weights of the
 sources to one source; slots are ranked per source, and the slot of rank r takes block r of its source's stream, over and
 over, until the source's target is reached. So every stretch of the schedule holds the sources in nearly their target
@@ -118,14 +118,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float =
 
     Sources by code point, null last, have the ``weights`` over and over; together they share ``total`` of all sizes.
     """
-    base = cut(docs.select(F.col(id_column).alias("id"), "source", words(docs["text"]).alias("size")))
+    base = cut(docs.select(F.col(id_column).alias("id"), "source", words(docs["text"]).alias("size"), F.xxhash64(id_column, "text", F.lit("mix")).alias("h")))
     by = sorted(base.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["size"] for r in by]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(by))], total * sum(sizes))
     spark = docs.sparkSession
     plan = [{"src": i, "size": s, "take": min(round(g), 2 * s), "block": min(BLOCK, -(-s // 256))} for i, (s, g) in enumerate(zip(sizes, goal, strict=True)) if s and round(g)]
     info = spark.createDataFrame([(i, r["source"], r["size"], float(g), min(BLOCK, max(1, -(-r["size"] // 256)))) for i, (r, g) in enumerate(zip(by, goal, strict=True))], "src long, s string, source_size long, target double, words long")
-    rows = base.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("h", F.xxhash64("id", F.lit("mix")))
+    rows = base.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     if not plan:
         return rows.select(F.col("id").alias(id_column), "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     # where each document's words begin in its source's stream
@@ -153,5 +153,8 @@ def blend(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float
     taken = mix(docs, weights, total, id_column).groupBy(F.col(id_column).alias("__id"), F.col("source").alias("__source")).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
     copies = F.when(F.col("__size") == 0, 1).otherwise(F.floor(F.col("__taken") / F.col("__size") + 0.5)).cast("int")
     taken = taken.select("__id", "__source", copies.alias("__copies"))
-    d = docs.join(taken, docs[id_column].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")))
-    return d.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(docs.columns)
+    # the row travels as one column, so that no name of its own clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    d = rows.join(taken, F.col("row")[id_column].eqNullSafe(F.col("__id")) & F.col("row")["source"].eqNullSafe(F.col("__source"))).where("__copies > 0")
+    d = d.select("row", F.explode(F.sequence(F.lit(1), "__copies")))
+    return d.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,8 +2,8 @@
 
 A text's strength is linear in features of its whole text. Of a preference pair (a text labelled 1 and one labelled 0)
 the first wins with probability sigmoid(strength difference); the weights minimise the logistic loss on feature
-differences, with a small ridge. The threshold is the quantile of the labelled strengths that leaves the labelled share
-of zeros below it. score = sigmoid(strength - threshold), so that score >= 0.5 is the prediction 1.
+differences, with a small ridge. The threshold is the quantile of the strengths of all labelled texts that may be learned
+from that leaves their share of zeros below it. score = sigmoid(strength - threshold), so that score >= 0.5 is the prediction 1.
 
 The fit uses a Bernoulli sample of labelled rows, ``SAMPLE`` on average, and ``PAIRS`` pairs among them. Features are
 computed once for all rows and written to the shared checkpoint folder; scoring is a plain expression over them.
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stats import nth
 from .quality_rules import Stats
 from .shared import cut, slices
 
@@ -96,31 +97,35 @@ def bradley_terry(good: np.ndarray, poor: np.ndarray, pairs: int = PAIRS, ridge:
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Means, scales, weights and the threshold of the strengths."""
+def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, scales and weights."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.clip((x - mean) / scale, -6, 6)
-    w = bradley_terry(z[y == 1], z[y == 0])
-    strength = np.sort(z @ w)
-    zeros = int((y == 0).sum())
-    return mean, scale, w, float((strength[zeros - 1] + strength[zeros]) / 2)
+    return mean, scale, bradley_terry(z[y == 1], z[y == 0])
 
 
 def score(docs: DataFrame, labels: DataFrame, learns: Column, id_column: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """``id_column``, score and predicted; ``learns`` marks the label rows that may be learned from."""
     known = labels.where(learns & F.col(id_column).isNotNull() & F.col("quality").isNotNull()).groupBy(id_column).agg(F.min("quality").alias("y"), F.max("quality").alias("__most")).where("y = __most").drop("__most")
+    known = known.withColumn("draw", F.pmod(F.xxhash64(id_column, F.lit("quality sample")), F.lit(1_000_003)))
     n = known.count()
-    part = known.where(F.pmod(F.xxhash64(id_column, F.lit("quality sample")), F.lit(1_000_003)) < 1_000_003.0 * sample / max(n, 1))
     table = cut(featurize(docs, id_column))
-    rows = table.join(F.broadcast(part), id_column).orderBy(id_column, "features").limit(4 * sample).toArrow()
+    # texts that share an id teach once
+    taught = cut(table.join(known, id_column).groupBy(id_column, "y", "draw").agg(F.min("features").alias("features")))
+    rows = taught.where(F.col("draw") < 1_000_003.0 * sample / max(n, 1)).orderBy(id_column).select("features", "y").toArrow()
     x = np.array(rows["features"].to_pylist(), float).reshape(-1, len(FEATURES))
     y = rows["y"].to_numpy()
     if not ((y == 1).any() and (y == 0).any()):
         return table.select(id_column, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
-    mean, scale, w, threshold = fit(x, y)
-    strength = F.lit(-threshold)
+    mean, scale, w = fit(x, y)
+    strength = F.lit(0.0)
     for i in range(len(FEATURES)):
         z = (F.col("features")[i] - float(mean[i])) / float(scale[i])
         strength = strength + F.lit(float(w[i])) * F.greatest(F.least(z, F.lit(6.0)), F.lit(-6.0))
-    out = 1 / (1 + F.exp(-F.greatest(F.least(strength, F.lit(30.0)), F.lit(-30.0))))
+    # the threshold is of all labels that may be learned from
+    strengths = cut(taught.select(strength.alias("strength"), "y"))
+    zeros, all_ = (strengths.where(c).count() for c in ("y = 0", "true"))
+    below, above = nth(strengths, "strength", [max(zeros - 1, 0), min(zeros, all_ - 1)])
+    gap = strength - (below + above) / 2
+    out = 1 / (1 + F.exp(-F.greatest(F.least(gap, F.lit(30.0)), F.lit(-30.0))))
     return table.select(id_column, out.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

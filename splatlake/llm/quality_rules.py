@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects a text by one statistic. On a bounded sample every rule's cost (seconds a text) and selectivity (share
-of texts it rejects) are measured; rules then run in the order of rejections per second, and a text that one rule
-rejects is not seen by the later ones. A text is kept if no rule rejects it, so the order changes the cost and never a
-verdict.
+Each rule rejects a text by one statistic. On a bounded random sample every rule's cost (seconds a text) and selectivity
+(share of texts it rejects) are measured; rules then run in the order of rejections per second, and a text that one rule
+rejects is not seen by the later ones: it leaves the slice at once, and later statistics are computed without it. A text
+is kept if no rule rejects it, so the order changes the cost and never a verdict.
+
+``sift`` is the cascade alone. ``judge`` also returns the base statistics of every text; rules that need no more than
+those cost nothing there, and are measured so.
 
 Defined results: a null text has no words, is like an empty one, and fails the base rule; all statistics are 0 for it.
 Repeated rows are judged each by itself. Other columns are passed over; an empty table gives an empty result.
@@ -38,9 +41,13 @@ _END[[ord(c) for c in "!?"]] = True
 class Stats:
     """Statistics of some texts, each computed when a rule first asks for it, over the texts still alive."""
 
-    def __init__(self, texts: pa.Array):
-        self.w = Words(texts)
-        self._got: dict[str, np.ndarray] = {}
+    def __init__(self, texts: pa.Array | Words, got: dict[str, np.ndarray] | None = None):
+        self.w = texts if isinstance(texts, Words) else Words(texts)
+        self._got: dict[str, np.ndarray] = got or {}
+
+    def only(self, keep: np.ndarray) -> Stats:
+        """The texts that ``keep`` marks, with what is known of them."""
+        return Stats(self.w.only(keep), {k: v[keep] for k, v in self._got.items()})
 
     def get(self, name: str) -> np.ndarray:
         if name not in self._got:
@@ -125,39 +132,64 @@ RULES = (
 )
 
 
-def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each rule: texts seen, rejections and seconds, each rule on its own."""
+#: The statistics that ``judge`` returns of every text.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measure(batches: Iterator[pa.RecordBatch], given: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """For each rule: texts seen, rejections and seconds, each rule on its own where the ``given`` statistics are known."""
     for batch in batches:
         texts = batch.column("text")
         for i, j in slices(texts):
+            words = Words(texts.slice(i, j - i))
             for rule in RULES:
-                stats, began = Stats(texts.slice(i, j - i)), time.perf_counter()
+                stats = Stats(words)
+                for name in given:
+                    stats.get(name)
+                began = time.perf_counter()
                 rejected = int(np.sum(rule.rejects(stats)))
                 yield pa.RecordBatch.from_pydict({"rule": [rule.name], "seen": [j - i], "rejected": [rejected], "seconds": [time.perf_counter() - began]})
 
 
-def plan(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """The rules' names by rejections per second of the sample, most first; ties and unseen rules in their given order."""
-    rows = docs.select("text").limit(sample).mapInArrow(measure, "rule string, seen long, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("r"), F.sum("seconds").alias("s")).collect()
+def plan(docs: DataFrame, given: tuple[str, ...] = (), sample: int = SAMPLE) -> list[str]:
+    """The rules' names by rejections per second of a random sample, most first; ties and unseen rules in their given order."""
+    share = min(1.0, sample / max(1, docs.count()))
+    drawn = docs.select("text").sample(withReplacement=False, fraction=share, seed=11)
+    rows = drawn.mapInArrow(lambda batches: measure(batches, given), "rule string, seen long, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("r"), F.sum("seconds").alias("s")).collect()
     gain = {r["rule"]: r["r"] / max(r["s"], 1e-9) for r in rows}
     return sorted((r.name for r in RULES), key=lambda n: -gain.get(n, 0.0))
 
 
-def cascade(stats: Stats, texts: pa.Array, order: list[str]) -> np.ndarray:
-    """Marks the texts that no rule rejects. Texts rejected so far leave the batch once they are half of it."""
-    kept, alive = np.ones(stats.w.n, bool), np.arange(stats.w.n)
+def cascade(stats: Stats, order: list[str]) -> tuple[np.ndarray, dict[str, int]]:
+    """Marks the texts that no rule rejects, and counts the texts that each rule saw."""
+    kept, alive, seen = np.ones(stats.w.n, bool), np.arange(stats.w.n), {}
     rules = {r.name: r for r in RULES}
     for name in order:
+        seen[name] = len(alive)
+        if not len(alive):
+            continue
         bad = rules[name].rejects(stats)
-        kept[alive[bad]] = False
-        if 2 * bad.sum() > len(alive):
+        if bad.any():
+            kept[alive[bad]] = False
             alive = alive[~bad]
-            if not len(alive):
-                break
-            stats = Stats(texts.take(pa.array(alive)))
-        elif bad.any():
-            continue
-    return kept
+            stats = stats.only(~bad)
+    return kept, seen
+
+
+def sift(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """``docs`` without the texts that a rule rejects."""
+    order = order or plan(docs)
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(docs_at)
+            for i, j in slices(texts):
+                kept, _ = cascade(Stats(texts.slice(i, j - i)), order)
+                yield batch.slice(i, j - i).filter(pa.array(kept))
+
+    docs_at = docs.columns.index("text")
+    return docs.mapInArrow(run, ", ".join(kinds))
 
 
 #: The columns that ``judge`` adds.
@@ -166,18 +198,17 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def judge(docs: DataFrame, id_column: str = "doc_id", order: list[str] | None = None) -> DataFrame:
     """``id_column``, the base statistics of every text, and whether the cascade keeps it."""
-    order = order or plan(docs)
+    order = order or plan(docs, BASE)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             ids, all_texts = batch.column(0), batch.column(1)
             for i, j in slices(all_texts):
-                texts = all_texts.slice(i, j - i)
-                s = Stats(texts)
-                base = [s.get(n).astype(np.int64) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+                s = Stats(all_texts.slice(i, j - i))
+                base = [s.get(n).astype(np.int64) for n in BASE]
                 failed = (base[0] < 20) | (100 * base[4] > 30 * base[0])
-                kept = cascade(s, texts, order) & ~failed
+                kept = cascade(s, order)[0] & ~failed
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *map(pa.array, base), pa.array(failed), pa.array(kept)], names=[id_column, *(c.split()[0] for c in SCHEMA.split(", "))])
 
     return docs.select(id_column, "text").mapInArrow(run, f"{id_column} {kind}, {SCHEMA}")

@@ -42,7 +42,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets(table(spark, sf_dir, "documents"), secrets.train(spark))
+    return secrets.secrets(table(spark, sf_dir, "documents"), secrets.train(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,39 @@
 """Secret scans: pattern candidates, and a random forest that removes false positives. DataFrame functions only.
 
 ``scan`` adds to every row an array of its candidates: where each stands, of what kind it is, and the share of the
-forest's trees that call it a secret. The forest sees a candidate's length, its character transitions, how much of it
-dictionary words cover, whether it is part of a path, and the words beside it. It is trained from ``labelled_findings``, a
-fixed set of findings made by rule, ``FINDINGS`` of them, each with text around it; training and scanning share one
-feature expression. The trees become one SQL expression, so that scanning is a projection: no shuffle, no join.
+forest's trees that call it a secret. The forest sees a candidate's length, how usual its character transitions are, how
+much of it dictionary words cover, whether it is part of a path, and the words beside it. The dictionary is the first
+``WORDS`` words of a public tokenizer's vocabulary, whose path is a parameter, with a few words of code; the transitions'
+logarithmic frequencies are those of the same words. The forest is trained from ``labelled_findings``, a fixed set of
+findings made by rule, ``FINDINGS`` of them, each with text around it; training and scanning share one feature
+expression. The trees become one SQL expression, so that scanning is a projection: no shuffle, no join.
 
 ``redact`` puts a placeholder for every secret found and keeps all other text.
 
 Defined results: null and empty texts have no candidates; the same secret is found at each place it stands, repeated rows
 each by themselves; texts are scanned whole; an empty table gives an empty result. Other columns are kept as they are,
-but for the added ones. Offsets and lengths count code points.
+whatever their names. Offsets and lengths count code points.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from dataclasses import dataclass
+from itertools import islice, pairwise
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import read_ranks
 from .shared import cut
 
 #: Labelled findings the forest is trained on, its trees and their depth.
 FINDINGS, TREES, DEPTH = 3000, 15, 6
+#: Words of the vocabulary that make the dictionary.
+WORDS = 4000
 PLACEHOLDER = "<SECRET>"
 #: Candidates: known key forms, values assigned to telling names, and long tokens with a digit.
 KEY_FORMS = r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
@@ -39,47 +47,81 @@ FOR = "password|passwd|pwd|secret|token|api.?key|access.?key|credential|bearer|a
 AGAINST = "commit|sha1|sha256|md5|checksum|digest|uuid|revision|etag|integrity|example|sample|image|asset|version|build"
 
 
-def _words(words: list[str]) -> str:
-    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
-
-
-#: name and SQL of each feature of a candidate ``c`` (value, kind, before, after)
-FEATURES = {
-    "length": "char_length(c.value)",
-    "class_transitions": r"(char_length(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(c.value, '[a-z]', 'a'), '[A-Z]', 'B'), '[0-9]', '0'), '-/+=', '____'), '(.)\\1+', '$1')) - 1) / char_length(c.value)",
-    "vowel_transitions": r"char_length(regexp_replace(regexp_replace(lower(c.value), '[aeiouy]', '1'), '[^1]', '')) / char_length(c.value)",
-    "dictionary": f"1 - char_length(regexp_replace(lower(c.value), '{_words(DICTIONARY)}', '')) / char_length(c.value)",
-    "digits": "char_length(regexp_replace(c.value, '[^0-9]', '')) / char_length(c.value)",
-    "distinct": "size(array_distinct(split(c.value, ''))) / char_length(c.value)",
-    "upper": "char_length(regexp_replace(c.value, '[^A-Z]', '')) / char_length(c.value)",
-    "path": r"cast(c.before rlike '[/.\\\\]$|://[^ ]*$' or c.after rlike '^[/.][A-Za-z]' or c.value rlike '^[a-z]{2,}/|(/[a-z]{3,}){2,}' as int)",
-    "says_secret": f"cast(lower(c.before) rlike '{FOR}' as int)",
-    "says_other": f"cast(lower(c.before) rlike '{AGAINST}' as int)",
-    "known_form": "cast(c.kind = 'key_form' as int)",
-    "hex": "cast(c.value rlike '^[0-9a-f-]+$' as int)",
-    "runs": r"cast(c.value rlike '(.)\\1\\1\\1' as int)",
-}
+def vocabulary_words(ranks: dict[bytes, int], n: int = WORDS) -> list[str]:
+    """The first ``n`` whole words of 4 to 12 letters, most frequent first."""
+    words = (t for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if re.fullmatch(rb" [a-z]{4,12}", t))
+    return [w[1:].decode() for w in islice(words, n)]
+
+
+def trie(words: list[str]) -> str:
+    """A pattern for the longest of ``words`` (of plain letters) at a place, with common beginnings shared."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [c + pattern(node[c]) for c in sorted(node) if c]
+        if not ways:
+            return ""
+        one = ways[0] if len(ways) == 1 and "" not in node else "(?:" + "|".join(ways) + ")"
+        return one + "?" * ("" in node)
+
+    return pattern(root)
+
+
+def transitions(words: list[str]) -> list[float]:
+    """Logarithmic frequencies of character pairs in ``words``: place 27 * a + b, letters from 0, all else 26."""
+    counts = [1.0] * (27 * 27)
+    for word in words:
+        for a, b in pairwise(word):
+            counts[27 * (ord(a) - 97) + ord(b) - 97] += 1
+    return [math.log(c / sum(counts[27 * (i // 27) : 27 * (i // 27) + 27])) for i, c in enumerate(counts)]
+
+
+def features(words: list[str]) -> dict[str, str]:
+    """Name and SQL of each feature of a candidate ``c`` (value, kind, before, after)."""
+    codes = "transform(split(lower(c.value), ''), x -> if(x between 'a' and 'z' and char_length(x) = 1, ascii(x) - 97, 26))"
+    table = "array(" + ", ".join(f"{x:.3f}D" for x in transitions(words)) + ")"
+    return {
+        "length": "char_length(c.value)",
+        "class_transitions": r"(char_length(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(c.value, '[a-z]', 'a'), '[A-Z]', 'B'), '[0-9]', '0'), '-/+=', '____'), '(.)\\1+', '$1')) - 1) / char_length(c.value)",
+        "usual_transitions": f"aggregate(array({codes}), 0D, (z, k) -> aggregate(zip_with(slice(k, 1, size(k) - 1), slice(k, 2, greatest(size(k) - 1, 1)), (a, b) -> element_at({table}, 27 * a + coalesce(b, 26) + 1)), 0D, (t, x) -> t + x)) / char_length(c.value)",
+        "dictionary": f"1 - char_length(regexp_replace(lower(c.value), '{trie([*words, *DICTIONARY])}', '')) / char_length(c.value)",
+        "digits": "char_length(regexp_replace(c.value, '[^0-9]', '')) / char_length(c.value)",
+        "distinct": "size(array_distinct(split(c.value, ''))) / char_length(c.value)",
+        "upper": "char_length(regexp_replace(c.value, '[^A-Z]', '')) / char_length(c.value)",
+        "path": r"cast(c.before rlike '[/.\\\\]$|://[^ ]*$' or c.after rlike '^[/.][A-Za-z]' or c.value rlike '^[a-z]{2,}/|(/[a-z]{3,}){2,}' as int)",
+        "says_secret": f"cast(lower(c.before) rlike '{FOR}' as int)",
+        "says_other": f"cast(lower(c.before) rlike '{AGAINST}' as int)",
+        "known_form": "cast(c.kind = 'key_form' as int)",
+        "hex": "cast(c.value rlike '^[0-9a-f-]+$' as int)",
+        "runs": r"cast(c.value rlike '(.)\\1\\1\\1' as int)",
+    }
 
 
 def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__p`` (text between candidates) and ``__c`` (candidates with start, value, kind, features f)."""
+def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
+    """``row`` (the columns of ``docs``), ``between`` (text between candidates) and ``found`` (candidates: start, key, value, kind, features f)."""
     pattern, assigned, form = _sql(PATTERN), _sql("^" + ASSIGNED), _sql(f"^(?:{KEY_FORMS})$")
     block = 128
-    d = docs.withColumn("__m", F.expr(f"case when text rlike {pattern} then regexp_extract_all(text, {pattern}, 0) else cast(array() as array<string>) end"))
-    d = d.withColumn("__p", F.expr(f"case when size(__m) > 0 then split(text, {pattern}, -1) else array(text) end"))
-    d = d.withColumn("__l", F.expr("zip_with(slice(__p, 1, size(__m)), __m, (p, m) -> char_length(p) + char_length(m))"))
-    # running sums of __l, by blocks
-    d = d.withColumn("__b", F.expr(f"transform(sequence(0, size(__m) div {block}), b -> aggregate(slice(__l, 1, b * {block}), 0L, (a, x) -> a + x))"))
-    at = f"__b[i div {block}] + aggregate(slice(__l, (i div {block}) * {block} + 1, i % {block}), 0L, (a, x) -> a + x) + char_length(__p[i])"
-    key = f"regexp_extract(m, {assigned}, 0)"
-    d = d.withColumn("__c", F.expr(f"transform(__m, (m, i) -> named_struct('start', {at}, 'key', {key}, 'value', substr(m, char_length({key}) + 1), 'before', right(__p[i], 40), 'after', left(__p[i + 1], 8)))"))
-    d = d.withColumn("__c", F.expr(f"transform(__c, c -> named_struct('start', c.start + char_length(c.key), 'key', c.key, 'value', c.value, 'kind', case when c.value rlike {form} then 'key_form' when c.key <> '' then 'assigned' else 'long_token' end, 'before', concat(c.before, c.key), 'after', c.after))"))
-    numbers = ", ".join(f"cast({x} as double)" for x in FEATURES.values())
-    return d.withColumn("__c", F.expr(f"transform(__c, c -> named_struct('start', c.start, 'key', c.key, 'value', c.value, 'kind', c.kind, 'f', array({numbers})))")).drop("__l", "__b")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    d = d.withColumn("m", F.expr(f"case when text rlike {pattern} then regexp_extract_all(text, {pattern}, 0) else cast(array() as array<string>) end"))
+    d = d.withColumn("between", F.expr(f"case when size(m) > 0 then split(text, {pattern}, -1) else array(text) end"))
+    d = d.withColumn("long", F.expr("zip_with(slice(between, 1, size(m)), m, (p, m) -> char_length(p) + char_length(m))"))
+    # running sums of lengths, by blocks
+    d = d.withColumn("sums", F.expr(f"transform(sequence(0, size(m) div {block}), b -> aggregate(slice(long, 1, b * {block}), 0L, (a, x) -> a + x))"))
+    at = f"sums[i div {block}] + aggregate(slice(long, (i div {block}) * {block} + 1, i % {block}), 0L, (a, x) -> a + x) + char_length(between[i])"
+    key = f"regexp_extract(v, {assigned}, 0)"
+    d = d.withColumn("found", F.expr(f"transform(m, (v, i) -> named_struct('start', {at}, 'key', {key}, 'value', substr(v, char_length({key}) + 1), 'before', right(between[i], 40), 'after', left(between[i + 1], 8)))"))
+    d = d.withColumn("found", F.expr(f"transform(found, c -> named_struct('start', c.start + char_length(c.key), 'key', c.key, 'value', c.value, 'kind', case when c.value rlike {form} then 'key_form' when c.key <> '' then 'assigned' else 'long_token' end, 'before', concat(c.before, c.key), 'after', c.after))"))
+    numbers = ", ".join(f"cast({x} as double)" for x in features(words).values())
+    return d.select("row", "between", F.expr(f"transform(found, c -> named_struct('start', c.start, 'key', c.key, 'value', c.value, 'kind', c.kind, 'f', array({numbers})))").alias("found"))
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -116,28 +158,40 @@ def _vote(debug: str) -> str:
     return tree(0)[0]
 
 
-def train(spark: SparkSession) -> str:
-    """SQL of the share of trees that call candidate ``c`` a secret."""
-    rows = cut(candidates(labelled_findings(spark)).select("label", F.explode("__c").alias("c")).select("label", "c.f"))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=17, featureSubsetStrategy="sqrt").fit(rows.select("label", array_to_vector("f").alias("features")))
-    return "(" + " + ".join(_vote(t.toDebugString) for t in forest.trees) + f") / {TREES}"
+@dataclass(frozen=True)
+class Forest:
+    """The dictionary, and SQL of the share of trees that call candidate ``c`` a secret."""
+
+    words: list[str]
+    share: str
+
+
+def fit(spark: SparkSession, vocabulary: str) -> tuple[Forest, RandomForestClassificationModel]:
+    words = vocabulary_words(read_ranks(vocabulary))
+    rows = cut(candidates(labelled_findings(spark), words).select("row.label", F.explode("found").alias("c")).select("label", "c.f"))
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=17, featureSubsetStrategy="sqrt").fit(rows.select("label", array_to_vector("f").alias("features")))
+    return Forest(words, "(" + " + ".join(_vote(t.toDebugString) for t in model.trees) + f") / {TREES}"), model
+
+
+def train(spark: SparkSession, vocabulary: str) -> Forest:
+    """The forest over the findings made by rule; ``vocabulary`` is a tiktoken rank file."""
+    return fit(spark, vocabulary)[0]
 
 
-def scan(docs: DataFrame, forest: str) -> DataFrame:
-    """``docs`` with ``__p`` and ``__found``: start, length, kind, key, value, score of every candidate."""
-    d = candidates(docs)
-    return d.withColumn("__found", F.expr(f"transform(__c, c -> named_struct('start', c.start, 'length', char_length(c.value), 'kind', c.kind, 'key', c.key, 'value', c.value, 'score', cast({forest} as double)))")).drop("__c", "__m")
+def scan(docs: DataFrame, forest: Forest) -> DataFrame:
+    """``row`` (the columns of ``docs``), ``between`` and ``found``: start, length, kind, key, value, score of every candidate."""
+    d = candidates(docs, forest.words)
+    return d.withColumn("found", F.expr(f"transform(found, c -> named_struct('start', c.start, 'length', char_length(c.value), 'kind', c.kind, 'key', c.key, 'value', c.value, 'score', cast({forest.share} as double)))"))
 
 
-def secrets(docs: DataFrame, forest: str, id_column: str = "doc_id") -> DataFrame:
+def secrets(docs: DataFrame, forest: Forest, id_column: str = "doc_id") -> DataFrame:
     """One row for each secret found: ``id_column``, start, length, kind, score and the value's sha256."""
-    found = scan(docs.select(id_column, "text"), forest).select(id_column, F.explode(F.filter("__found", lambda x: x["score"] >= 0.5)).alias("x"))
+    found = scan(docs.select(id_column, "text"), forest).select(F.col("row")[id_column].alias(id_column), F.explode(F.filter("found", lambda x: x["score"] >= 0.5)).alias("x"))
     return found.select(id_column, "x.start", F.col("x.length").cast("long").alias("length"), "x.kind", "x.score", F.sha2("x.value", 256).alias("value_sha256"))
 
 
-def redact(docs: DataFrame, forest: str) -> DataFrame:
+def redact(docs: DataFrame, forest: Forest) -> DataFrame:
     """``docs`` with every secret of ``text`` replaced by the placeholder."""
-    d = scan(docs, forest)
     said = f"concat(x.key, case when x.score >= 0.5 then '{PLACEHOLDER}' else x.value end)"
-    whole = F.expr(f"case when exists(__found, x -> x.score >= 0.5) then array_join(zip_with(__p, concat(transform(__found, x -> {said}), array('')), (p, r) -> concat(p, r)), '') else text end")
-    return d.withColumn("text", whole).select(docs.columns)
+    whole = F.expr(f"case when exists(found, x -> x.score >= 0.5) then array_join(zip_with(between, concat(transform(found, x -> {said}), array('')), (p, r) -> concat(p, r)), '') else row.text end")
+    return scan(docs, forest).select(*[(whole if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

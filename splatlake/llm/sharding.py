@@ -35,9 +35,12 @@ def _above(window: Window, size: Column | str) -> Column:
     return F.coalesce(F.sum(size).over(window.rowsBetween(*_BEFORE)), F.lit(0))
 
 
-def places(nodes: DataFrame, group: str, item: str, size: str) -> DataFrame:
-    """``nodes`` with ``at``: the sizes of all nodes before, in the order of (group, item), both 64-bit hashes."""
-    n = nodes.withColumn("__sub", F.shiftrightunsigned(item, 58))
+def places(nodes: DataFrame, group: str, item: str, size: str, skip: int = 0) -> DataFrame:
+    """``nodes`` with ``at``: the sizes of all nodes before, in the order of (group, item), both 64-bit hashes.
+
+    Members of a group share the first ``skip`` bits of ``item``; the next 6 split the group.
+    """
+    n = nodes.withColumn("__sub", F.shiftrightunsigned(F.shiftleft(item, skip), 58))
     cells = n.groupBy(group, "__sub").agg(F.sum(size).alias("s"))
     groups = cells.groupBy(group).agg(F.sum("s").alias("g")).withColumn("__top", F.shiftrightunsigned(group, 52))
     tops = groups.groupBy("__top").agg(F.sum("g").alias("t"))
@@ -92,7 +95,7 @@ def propagate(nodes: DataFrame, links: DataFrame, k: int, rounds: int = ROUNDS)
         ends.append((ends[-1] if ends else 0.0) + x)
     lone = nodes.join(state.select("node"), "node", "left_anti").withColumn("h", F.xxhash64("node"))
     rest = (total - sum(loads.values())) or 1
-    line = places(lone.withColumn("part", F.shiftleft(F.shiftrightunsigned("h", 52), 52)), "part", "h", "size")
+    line = places(lone.withColumn("part", F.shiftleft(F.shiftrightunsigned("h", 52), 52)), "part", "h", "size", skip=12)
     lone = line.select("node", _shard_at((F.col("at") + F.col("size") / 2) * (ends[-1] / rest), ends).cast("int").alias("shard"))
     return state.select("node", "shard").unionByName(lone)
 

@@ -93,6 +93,21 @@ class Words:
         self.word_at = np.concatenate([[0], np.cumsum(self.count)])
         self._sums = None
 
+    def only(self, keep: np.ndarray) -> Words:
+        """The words of the texts that ``keep`` marks."""
+        out, size = object.__new__(Words), np.diff(self.at)
+        before = np.cumsum(np.where(keep, 0, size))
+        byte, word = np.repeat(keep, size), keep[self.doc]
+        out.data, out.blank, out.n = self.data[byte], self.blank[byte], int(keep.sum())
+        out.at = np.concatenate([[0], np.cumsum(size[keep])])
+        doc = self.doc[word]
+        out.start, out.end = self.start[word] - before[doc], self.end[word] - before[doc]
+        out.doc, out.count = (np.cumsum(keep) - 1)[doc], self.count[keep]
+        out.word_at, out._sums = np.concatenate([[0], np.cumsum(out.count)]), None
+        if hasattr(self, "_hash"):
+            out._hash = self._hash[word]
+        return out
+
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes of each span."""
         if self._sums is None:

@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: each secret found is replaced in text; n_chars follows."""
-    out = secrets.redact(docs, secrets.train(ready(spark)))
+    out = secrets.redact(docs, secrets.train(ready(spark), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
