@@ -16,6 +16,9 @@ ROOT = str(Path(__file__).resolve().parents[1])
 #: Rows in an Arrow batch where the session has Spark's own number: texts and vectors make wide rows.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS = 2000
+#: Bytes in an Arrow batch, likewise.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BYTES = 4 << 20
 #: Characters of a plan's text that the driver keeps for each query and each of its re-plans, where the session has Spark's own bound.
 PLAN = "spark.sql.maxPlanStringLength"
 TEXT = 100_000
@@ -25,6 +28,7 @@ def ready(spark: SparkSession) -> SparkSession:
     """Puts the package's folder on the Python path of the workers, and bounds Arrow batches and plan texts."""
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, ROWS)
+        spark.conf.set(BATCH_BYTES, BYTES)
     if spark.conf.get(PLAN) == "2147483632b":
         spark.conf.set(PLAN, TEXT)
     env = spark.sparkContext.environment
