@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .shared import slices
 
-#: Pre-tokens whose encodings a worker keeps, about 300 bytes each.
-CACHED = 200_000
+#: Pre-tokens whose encodings a worker keeps, about 300 bytes each, and bytes of text in a block.
+CACHED, BLOCK_BYTES = 120_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
         codec = _codec(key, shared.value, pattern)
         for batch in batches:
             ids, all_texts = batch.column(0), batch.column(1)
-            for i, j in slices(all_texts):
+            for i, j in slices(all_texts, BLOCK_BYTES):
                 coded = codec.encode([t or "" for t in all_texts.slice(i, j - i).to_pylist()])
                 columns = [
                     ids.slice(i, j - i),

@@ -41,7 +41,7 @@ from .shared import Words, cut, mix, slices
 #: Prefix shingles that must be shared in the first filter, as a share of the set.
 SHARE = 0.15
 #: Shingles in a part of the first filter, classes in a short list, classes and shingles on a side of a block of a long one.
-PART, SHORT, BLOCK, WORDS = 1_000_000, 64, 512, 500_000
+PART, SHORT, BLOCK, WORDS = 500_000, 64, 512, 500_000
 #: Keys that may be broadcast as frequent ones.
 HOT = 20_000
 #: Rows of classes that may be broadcast (two longs each).

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, ready  # noqa: F401
 
 #: Texts are tokenised in slices of about so many bytes, whatever the size of an Arrow batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C55)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
