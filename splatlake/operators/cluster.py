@@ -35,23 +35,30 @@ def bundle(df: DataFrame, radius: float = 0.1, attributes: float = 0.5) -> DataF
 
 
 def merge_bundles(grouped: DataFrame) -> DataFrame:
-    """One splat for each ``comp``: positions and colours weighted by opacity, half extents or the heaviest member's scales,
-    Beer-Lambert opacity, rotation and label of the heaviest member (first of equals)."""
+    """One splat for each ``comp``: positions and all colour coefficients weighted by opacity, half extents or the heaviest
+    member's scales, Beer-Lambert opacity, rotation (made unit), degree and label of the heaviest member (first of equals)."""
     w = F.expr("least(greatest(opacity, 0e0), 1e0 - 1e-7)")
     g = grouped.withColumn("w", w)
     heavy = F.struct("w", (-F.col("splat_id")).alias("o"))
-    mean = lambda c: F.when(F.sum("w") > 1e-9, F.sum(F.col(c) * F.col("w")) / F.sum("w")).otherwise(F.avg(c))
+    mean = lambda c: F.when(F.sum("w") > 1e-9, F.sum(c * F.col("w")) / F.sum("w")).otherwise(F.sum(c) / F.count("*"))
     by = {c: F.max_by(c, heavy) for c in ("sx", "sy", "sz", "qx", "qy", "qz", "qw", "label")}
+    has_rest = "rest" in grouped.columns
     out = g.groupBy("comp").agg(
         F.count("*").alias("members"),
-        *[mean(c).alias(c) for c in ("x", "y", "z", "dc0", "dc1", "dc2")],
+        *[mean(F.col(c)).alias(c) for c in ("x", "y", "z", "dc0", "dc1", "dc2")],
         *[((F.max(c) - F.min(c)) * 0.5).alias(f"h{c}") for c in "xyz"],
         *[v.alias(c) for c, v in by.items()],
         (1 - F.exp(F.sum(F.ln(1 - F.col("w"))))).alias("merged"),
         F.max("opacity").alias("own"),
+        *([F.max_by(F.size("rest"), heavy).alias("n_rest")] if has_rest else []),
+        *[mean(F.coalesce(F.try_element_at("rest", F.lit(i + 1)), F.lit(0.0))).alias(f"r{i}") for i in range(45 * has_rest)],
     )
     single = F.col("members") == 1
-    out = out.withColumns({f"s{c}": F.when(single, F.col(f"s{c}")).otherwise(F.greatest(f"h{c}", f"s{c}")) for c in "xyz"})
+    unit = dict(zip(("qx", "qy", "qz", "qw"), X.quat_norm("qx", "qy", "qz", "qw"), strict=True))
+    out = out.withColumns({f"s{c}": F.when(single, F.col(f"s{c}")).otherwise(F.greatest(f"h{c}", f"s{c}")) for c in "xyz"} | {c: F.when(single, F.col(c)).otherwise(F.expr(e)) for c, e in unit.items()})
+    if has_rest:
+        rest = F.when(F.col("n_rest") >= 0, F.slice(F.array(*[f"r{i}" for i in range(45)]), F.lit(1), F.col("n_rest")))
+        out = out.withColumn("rest", rest).drop("n_rest", *[f"r{i}" for i in range(45)])
     return out.withColumn("opacity", F.when(single, F.col("own")).otherwise(F.col("merged"))).drop("hx", "hy", "hz", "merged", "own").withColumnRenamed("comp", "splat_id")
 
 
@@ -109,6 +116,58 @@ def merged_shapes(groups: DataFrame) -> DataFrame:
     return rows.withColumns({q: F.expr(e) for q, e in zip(("qx", "qy", "qz", "qw"), quat, strict=True)}).drop(*[f"m{i}{j}" for i in range(3) for j in range(3)])
 
 
+def lod_merge(df: DataFrame, threshold: float = 1.0, factor: float = 0.5, most: int = 64, focal: float = 256.0) -> DataFrame:
+    """The scene with its sub-pixel splats merged by voxel: large splats, one merged splat for the first ``most`` (by id) of
+    each voxel, and every other splat of a voxel as it was.
+
+    A merged splat has the id and label of its first member, the members' mixture moments, and the weighted colour.
+    Weights are opacities, 1e-6 at least; its opacity is one minus the product of the members' transparencies.
+    """
+    from pyspark.sql import Window
+
+    d = small(df, focal, threshold).withColumn("__size", F.expr(f"greatest({X.num(factor)} * diag / 2048e0, 1e-6)"))
+    d = d.withColumns({f"__v{c}": F.floor((F.col(c) - F.col(f"lo_{c}")) / F.col("__size")).cast("long") for c in "xyz"})
+    voxel = ["__vx", "__vy", "__vz"]
+    tiny = d.where("small").withColumn("__n", F.row_number().over(Window.partitionBy(*voxel).orderBy("splat_id")))
+    tiny = cut(tiny.withColumn("__all", F.max("__n").over(Window.partitionBy(*voxel))))
+    kept = d.where("not small").select(df.columns).unionByName(tiny.where(f"__all = 1 or __n > {most}").select(df.columns))
+    g = tiny.where(f"__all > 1 and __n <= {most}").withColumn("w", F.greatest("opacity", F.lit(1e-6))).withColumns({k: F.expr(v) for k, v in X.covariance().items()})
+    second = {"cxx": ("x", "x"), "cxy": ("x", "y"), "cxz": ("x", "z"), "cyy": ("y", "y"), "cyz": ("y", "z"), "czz": ("z", "z")}
+    has_rest = "rest" in df.columns
+    mean = lambda c: F.sum(c * F.col("w")) / F.sum("w")
+    one = g.groupBy(*voxel).agg(
+        F.min("splat_id").alias("splat_id"), F.min_by("label", "splat_id").alias("label"), F.sum("w").alias("w"),
+        *[F.sum(F.col("w") * F.col(c)).alias(f"w{c}") for c in "xyz"],
+        *[F.sum(F.col("w") * (F.col(k) + F.col(a) * F.col(b))).alias(f"w{k}") for k, (a, b) in second.items()],
+        (1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("opacity"), F.lit(1e-300)))))).alias("opacity"),
+        *[mean(F.col(f"dc{c}")).alias(f"dc{c}") for c in range(3)],
+        *([F.min_by(F.size("rest"), "splat_id").alias("n_rest")] if has_rest else []),
+        *[mean(F.coalesce(F.try_element_at("rest", F.lit(i + 1)), F.lit(0.0))).alias(f"r{i}") for i in range(45 * has_rest)],
+    )
+    shaped = merged_shapes(one.drop(*voxel)).withColumns({c: F.col(f"w{c}") / F.col("w") for c in "xyz"})
+    if has_rest:
+        shaped = shaped.withColumn("rest", F.when(F.col("n_rest") >= 0, F.slice(F.array(*[f"r{i}" for i in range(45)]), F.lit(1), F.col("n_rest"))))
+    return kept.unionByName(shaped.select(df.columns))
+
+
+def with_palette(df: DataFrame, k: int, rounds: int = 6, sample: int = 200_000) -> DataFrame:
+    """``df`` with the 45 rest coefficients of each splat replaced by those of its code; other splats stay.
+
+    The codebook is learned on about ``sample`` splats, drawn by a hash of the id, and rounded to 255 steps of its largest size.
+    """
+    full = cut(df.where("size(rest) = 45"))
+    n = full.count()
+    if not n:
+        return df
+    drawn = full.where(F.pmod(F.xxhash64("splat_id", F.lit("palette")), F.lit(1_000_003)) < 1_000_003.0 * sample / n) if n > sample else full
+    book, _ = palette(cut(drawn.select("splat_id", "rest")), min(k, n), rounds)
+    top = max(float(np.abs(book).max()), 1e-9)
+    book = np.round(book / top * 127) / 127 * top
+    coded = nearest_code(full.select("splat_id", "rest"), book).select("splat_id", "code")
+    rows = df.sparkSession.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(book)], "code int, __rest array<double>")
+    return df.join(coded.join(F.broadcast(rows), "code").select("splat_id", "__rest"), "splat_id", "left").withColumn("rest", F.coalesce("__rest", "rest")).select(df.columns)
+
+
 def nearest_code(df: DataFrame, centroids: np.ndarray, column: str = "rest") -> DataFrame:
     """``df`` (rows with full vectors) with code, the nearest centroid (first of equals), and d2 to it.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..runtime import cut
 from . import spatial, stats
 
 ATTRIBUTES = ("x", "y", "z", "qx", "qy", "qz", "qw", "sx", "sy", "sz", "opacity", "dc0", "dc1", "dc2")
@@ -28,13 +29,40 @@ def anchor_prediction(ranked: DataFrame, stride: int = 64, k: int = 2) -> DataFr
     return w.groupBy("splat_id").agg(*[(F.sum(F.col("w") * F.col(f"v_{a}")) / F.sum("w")).alias(f"p_{a}") for a in ATTRIBUTES])
 
 
+def splat_delta(ranked: DataFrame, stride: int = 64, k: int = 2, bits: int = 6, percentile: float = 0.995) -> DataFrame:
+    """The scene rebuilt from anchors and residuals on symmetric grids: ``ranked`` with the attributes of all other splats
+    as prediction plus quantized residual, quaternions unit again, and ``delta_error``, the squared error over the attributes.
+
+    A channel's grid reaches to the floor-rank percentile of its residuals' sizes, 1e-9 at least.
+    """
+    pred = cut(anchor_prediction(ranked, stride, k))
+    both = ranked.join(pred, "splat_id")
+    long = both.select(F.explode(F.array(*[F.struct(F.lit(a).alias("c"), (F.col(a) - F.col(f"p_{a}")).alias("v")) for a in ATTRIBUTES])).alias("e")).select("e.c", "e.v")
+    top = {a: max(v, 1e-9) for a, v in stats.nth_each(long, "c", "abs(v)", percentile).items()}
+    levels, new = float(2 ** (min(max(bits, 2), 16) - 1) - 1), {}
+    for a in ATTRIBUTES:
+        reach = F.lit(top.get(a, 1.0))
+        q = F.round(F.greatest(F.least((F.col(a) - F.col(f"p_{a}")) / reach, F.lit(1.0)), F.lit(-1.0)) * levels)
+        new[a] = F.coalesce(F.col(f"p_{a}") + q / levels * reach, F.col(a))
+    d = ranked.join(pred, "splat_id", "left")
+    d = d.select("*", *[v.alias(f"n_{a}") for a, v in new.items()])
+    error = sum(((F.col(f"n_{a}") - F.col(a)) * (F.col(f"n_{a}") - F.col(a)) for a in ATTRIBUTES[1:]), (F.col("n_x") - F.col("x")) * (F.col("n_x") - F.col("x")))
+    d = d.withColumn("delta_error", F.when(F.col("p_x").isNotNull(), error))
+    unit = dict(zip(("qx", "qy", "qz", "qw"), X.quat_norm("n_qx", "n_qy", "n_qz", "n_qw"), strict=True))
+    out = {a: F.expr(unit[a]) if a in unit else F.col(f"n_{a}") for a in ATTRIBUTES}
+    return d.select(*[out.get(c, F.col(c)).alias(c) for c in ranked.columns], "delta_error")
+
+
+def delta_rmse(rebuilt: DataFrame) -> DataFrame:
+    """One row: the root of the mean squared error over all attributes of the splats that aren't anchors."""
+    return rebuilt.agg(F.coalesce(F.sqrt(F.avg("delta_error") / len(ATTRIBUTES)), F.lit(0.0)).alias("rmse"))
+
+
 def nearest_of(points: DataFrame, k: int) -> DataFrame:
     """(splat_id, other, d2): of every row that isn't an anchor the k nearest anchors, by growing rings of cells."""
     cells, cell = spatial.grid(points.where("anchor"))
     lo = points.where("anchor").agg(*[F.min(c).alias(c) for c in "xyz"]).first()
     ask = points.where("not anchor").select("splat_id", "x", "y", "z", *[F.floor((F.col(c) - F.lit(lo[c])) / cell).alias(f"c{c}") for c in "xyz"])
-    from ..runtime import cut
-
     cells, ask = cut(cells), cut(ask)
     reach = ask.agg(F.max(F.greatest(F.abs("cx"), F.abs("cy"), F.abs("cz")))).first()[0] or 0
     top = max(reach, cells.agg(F.max(F.greatest("cx", "cy", "cz"))).first()[0] or 0) * 2

@@ -31,6 +31,13 @@ def levels(df: DataFrame, fractions: tuple[float, ...] = (0.5, 0.25, 0.1)) -> Da
     return out
 
 
+def with_levels(df: DataFrame, fractions: tuple[float, ...] = (0.5, 0.25)) -> DataFrame:
+    """``df`` with ``levels``: the levels of detail that hold the splat, 0 for all; level i has every round(1/f)-th rank."""
+    steps = [max(1, int(1 / f + 0.5)) for f in fractions if 0 < f <= 1]
+    held = [F.when(F.col("rank") % step == 0, F.lit(i)) for i, step in enumerate(steps, 1)]
+    return df.withColumn("levels", F.array_compact(F.array(F.lit(0), *held)))
+
+
 def by_score(df: DataFrame, score: str, name: str = "place") -> DataFrame:
     """``df`` with score and its place in descending order, ties by id."""
     return stats.rank(df.withColumn("score", F.expr(score)), [F.desc("score"), "splat_id"], name)

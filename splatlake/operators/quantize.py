@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..runtime import cut
 from . import stats
 
 
@@ -79,27 +80,43 @@ def rest(df: DataFrame, bits: int = 8, percentile: float = 0.995) -> DataFrame:
     return df.withColumn("rest", F.when(F.size("rest") >= 45, on).otherwise(F.col("rest")))
 
 
-def dct_matrix(n: int = 15) -> list[list[float]]:
+def dct_matrix(n: int) -> list[list[float]]:
     """The orthonormal DCT-II."""
     return [[math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * (2 * i + 1) * k / (2 * n)) for i in range(n)] for k in range(n)]
 
 
-def rest_dct(df: DataFrame, bits: tuple[int, ...] = (8,) * 4 + (6,) * 5 + (4,) * 6) -> DataFrame:
-    """Each channel's 15 rest coefficients in frequency space, each frequency on a symmetric grid of its largest size."""
-    m = dct_matrix(len(bits))
-    n = len(bits)
-    at = lambda c: [f"rest[{3 * i + c}]" for i in range(n)]
-    forward = {f"f{c}_{k}": " + ".join(f"{X.num(m[k][i])} * {v}" for i, v in enumerate(at(c))) for c in range(3) for k in range(n)}
-    d = df.select("*", *[F.expr(e).alias(name) for name, e in forward.items()])
-    d = stats.with_row(d, d.agg(*[F.max(F.abs(name)).alias(f"m{name}") for name in forward]))
-    on = {}
+def rest_dct(df: DataFrame, bits: tuple[int, ...] = (7,) * 16) -> DataFrame:
+    """Each channel's coefficients, the constant one first, in frequency space, each frequency on a symmetric grid of its
+    largest size.
+
+    The scene's first splat with rest coefficients says how many there are; splats with another number stay as they are.
+    Frequencies of 0 bits, or without bits, become 0.
+    """
+    first = df.where("size(rest) > 0").agg(F.min_by(F.size("rest"), "splat_id").alias("n")).first()["n"]
+    if not first:
+        return df
+    n = 1 + first // 3
+    bits = (*bits, *[0] * n)[:n]
+    m = F.array(*[F.array(*[F.lit(v) for v in row]) for row in dct_matrix(n)])
+    back = F.array(*[F.array(*[F.lit(v) for v in row]) for row in zip(*dct_matrix(n), strict=True)])
+    times = lambda rows, v: F.transform(rows, lambda row: F.aggregate(F.zip_with(row, v, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x))
+    full = F.col("rest").isNotNull() & (F.size("rest") == first)
+    bands = F.sequence(F.lit(0), F.lit(n - 2))
+    d = df.withColumn("__full", full)
+    of = lambda c: F.transform(bands, lambda i: F.col("rest")[3 * i + c])
     for c in range(3):
-        for k in range(n):
-            f, top, step = f"f{c}_{k}", f"greatest(mf{c}_{k}, 1e-12)", X.num(2 ** (bits[k] - 1) - 1)
-            on[f] = F.expr(f"round({f} / {top} * {step}) / {step} * {top}")
-    d = d.withColumns(on)
-    rest_ = [F.expr(" + ".join(f"{X.num(m[k][i])} * f{c}_{k}" for k in range(n))) for i in range(n) for c in range(3)]
-    return d.withColumn("rest", F.array(*rest_)).select(df.columns)
+        d = d.withColumn(f"__f{c}", F.when(full, times(m, F.concat(F.array(f"dc{c}"), of(c)))))
+    d = cut(d)
+    tops = d.agg(*[F.array(*[F.coalesce(F.max(F.abs(F.col(f"__f{c}")[k])), F.lit(0.0)) for k in range(n)]).alias(f"__m{c}") for c in range(3)])
+    d = stats.with_row(d, tops)
+    most = F.array(*[F.lit(float(max(2 ** (max(b, 1) - 1) - 1, 1)) if b else 0.0) for b in bits])
+    for c in range(3):
+        step = F.zip_with(f"__m{c}", most, lambda top, q: F.when(q > 0, top / q).otherwise(F.lit(0.0)))
+        level = F.zip_with(F.zip_with(f"__f{c}", step, lambda f, s: F.when(s > 0, F.round(f / s)).otherwise(F.lit(0.0))), most, lambda v, q: F.least(F.greatest(v, -q), q))
+        d = d.withColumn(f"__f{c}", F.when(F.col("__full"), times(back, F.zip_with(level, step, lambda v, s: v * s))))
+    new = {f"dc{c}": F.when(F.col("__full"), F.col(f"__f{c}")[0]).otherwise(F.col(f"dc{c}")) for c in range(3)}
+    rest_ = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.array(*[F.col(f"__f{c}")[i] for c in range(3)])))
+    return d.withColumns({**new, "rest": F.when(F.col("__full"), rest_).otherwise(F.col("rest"))}).select(df.columns)
 
 
 def reduce_degree(df: DataFrame, degree: int) -> DataFrame:

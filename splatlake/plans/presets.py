@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators import cluster, order, prune, quantize
+from ..operators import cluster, codec, order, prune, quantize
 from ..runtime import cut
 
 Step = tuple[str, dict]
@@ -30,6 +30,10 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "rest_dct": quantize.rest_dct,
     "degree": quantize.reduce_degree,
     "morton": lambda df, **k: order.morton_sort(df.drop("code", "rank"), **k),
+    "levels": order.with_levels,
+    "delta": lambda df, **k: codec.splat_delta(df, **k).drop("delta_error"),
+    "palette": cluster.with_palette,
+    "lod_merge": cluster.lod_merge,
 }
 
 
@@ -37,53 +41,73 @@ def step(name: str, **options) -> Step:
     return name, options
 
 
-VALID, SORT = step("remove_invalid"), step("morton")
+VALID, SORT, HALVES = step("remove_invalid"), step("morton"), step("levels", fractions=(0.5, 0.25))
 
 
-def _mobile(threshold: float = 0.01, scale: int = 12, rotation: int = 12, degree: int | None = 1, floaters: float | None = None) -> list[Step]:
-    steps = [VALID, step("opacity", threshold=threshold)]
-    if floaters is not None:
-        steps.append(step("floaters", sigma=floaters))
-    steps += [step("position", bits=16), step("scale", bits=scale), step("rotation", bits=rotation)]
-    if degree is not None:
-        steps.append(step("degree", degree=degree))
-    return [*steps, SORT]
+def _grids(position: int = 15, scale: int = 12, rotation: int = 12, log: bool = False) -> list[Step]:
+    return [step("position", bits=position), step("scale", bits=scale, log=log), step("rotation", bits=rotation)]
 
 
-def _codebook(keep: float | None = None, bits: int = 8, prune_at: float | None = None) -> list[Step]:
-    """What goes before a codebook of the rest coefficients."""
-    steps = [VALID]
-    if prune_at is not None:
-        steps.append(step("opacity", threshold=prune_at))
-    if keep is not None:
-        steps.append(step("rate_distortion", keep=keep))
-    return [*steps, SORT, step("position", bits=16), step("scale", bits=bits, log=True), step("rotation_smallest3", bits=10), step("dc", bits=8)]
+def _pruned(opacity: float, ratio: float | None = None, sigma: float | None = 3.0) -> list[Step]:
+    out = [VALID, step("opacity", threshold=opacity)]
+    out += [step("aspect_ratio", most=ratio)] if ratio else []
+    return out + ([step("floaters", k=8, sigma=sigma)] if sigma else [])
 
 
+def _flat(*tail: Step) -> list[Step]:
+    """Constant colour, Morton order, and what comes after."""
+    return [step("degree", degree=0), SORT, *tail]
+
+
+def _palette(k: int, *tail: Step, first: list[Step] | None = None) -> list[Step]:
+    return [*(first or [VALID]), *_grids(log=True), SORT, HALVES, step("palette", k=k), *tail]
+
+
+_DELTA = lambda bits: [*_pruned(0.01, 50.0), *_flat(step("delta", stride=64, k=2, bits=bits, percentile=0.995), HALVES)]
+_TIGHT = (step("rotation_packed", bits=8), step("dc", bits=8))
+_REST = lambda bits: step("rest", bits=bits, percentile=0.995)
+_OLD = _pruned(0.02, 10.0)
+
+#: The chains of the named presets.
 PRESETS: dict[str, list[Step]] = {
     "lossless-repack": [VALID, SORT],
     "quality-max": [VALID, SORT],
-    "web-mobile": _mobile(),
-    "web-desktop": [VALID, step("opacity", threshold=0.005), step("position", bits=16), step("scale", bits=12), step("rotation", bits=12), SORT],
-    "quest-browser": _mobile(0.02, 10, 10, 0, 3.0),
-    "visionos-preview": [VALID, step("opacity", threshold=0.01), step("position", bits=16), SORT],
-    "thumbnail-preview": [VALID, step("opacity", threshold=0.1), step("degree", degree=0), SORT],
-    "geospatial": [VALID, step("opacity", threshold=0.01), SORT],
-    "size-min": [VALID, step("opacity", threshold=0.05), step("aspect_ratio", most=8.0), step("floaters", sigma=3.0), step("position", bits=14), step("scale", bits=8, log=True), step("rotation", bits=8), step("degree", degree=0), SORT],
-    "hero": [VALID, step("position", bits=16), step("scale", bits=16), step("rotation", bits=16), SORT],
-    "wm-recovery": _mobile(0.005, 12, 12, 2),
-    "wm-floater-off": _mobile(),
-    **{f"wm-floater-{s}": _mobile(floaters=float(s)) for s in (3, 6, 8, 12)},
-    "wmv-no-prune": [VALID, step("position", bits=16), step("scale", bits=12), step("rotation", bits=12), step("degree", degree=1), SORT],
-    "wmv-sh-full": _mobile(degree=None),
-    "sh3": [*_mobile(degree=None)[:-1], step("rest", bits=8), SORT],
-    "sh3-dct": [*_mobile(degree=None)[:-1], step("rest_dct"), SORT],
-    "textures": _codebook(),
-    "codebook-45": _codebook(prune_at=0.01),
-    "codebook-45-no-prune": _codebook(),
-    "codebook-45-no-prune-tight": _codebook(bits=12),
-    "codebook-45-rd70": _codebook(keep=0.7),
-    "bundled": [VALID, step("bundle", radius=0.1, attributes=0.5), SORT],
+    "web-mobile": [*_pruned(0.01, 50.0, None), *_grids(), *_flat(HALVES)],
+    "web-desktop": [*_pruned(0.005, 50.0), *_grids(16), step("degree", degree=1), step("rest_dct", bits=(7,) * 16), SORT],
+    "quest-browser": [*_pruned(0.02, 30.0), *_grids(14), *_flat(step("levels", fractions=(0.3,)))],
+    "visionos-preview": [*_pruned(0.02, None, None), *_grids(15, 8, 8), *_flat()],
+    "thumbnail-preview": [*_pruned(0.05, 10.0), *_grids(12), *_flat()],
+    "size-min": [*_pruned(0.05, 10.0), step("bundle", radius=0.1, attributes=0.6), *_grids(12), *_flat(step("levels", fractions=(0.25, 0.1)))],
+    "geospatial": [*_pruned(0.02), *_grids(15, 8, 8), *_flat(step("levels", fractions=(0.5, 0.25, 0.125)))],
+    "hero": [VALID, step("floaters", k=8, sigma=3.0), *_grids(16, 16, 16), *_flat()],
+    "wmv-no-shred": [*_OLD, *_grids(), *_flat(HALVES)],
+    "wmv-no-lod": [*_OLD, *_grids(), *_flat()],
+    "wmv-no-posq": [*_OLD, *_grids()[1:], *_flat(HALVES)],
+    "wmv-no-quant": [*_OLD, *_flat(HALVES)],
+    "wmv-no-prune": [VALID, *_grids(), *_flat(HALVES)],
+    "wm-recovery": [*_pruned(0.005, 200.0), *_grids(), *_flat(HALVES)],
+    **{f"wm-floater-{s}": [*_pruned(0.01, 50.0, float(s)), *_grids(), *_flat(HALVES)] for s in (3, 6, 8, 12)},
+    "wm-floater-off": [*_pruned(0.01, 50.0, None), *_grids(), *_flat(HALVES)],
+    "web-mobile-delta": _DELTA(6),
+    **{f"wmd-b{b}": _DELTA(b) for b in (6, 8, 10, 12)},
+    "web-mobile-sh3": [*_pruned(0.01, 50.0), *_grids(), SORT, HALVES],
+    "web-mobile-sh3-floater6": [*_pruned(0.01, 50.0, 6.0), *_grids(), SORT, HALVES],
+    "wmd-sh3-nofloater": [*_pruned(0.01, 50.0, None), SORT, step("delta"), HALVES],
+    "wmv-sh3-q8": [VALID, *_grids(), SORT, HALVES, _REST(8)],
+    "wmv-sh3-q6": [VALID, *_grids(), SORT, HALVES, _REST(6)],
+    "wmv-sh3-q8-zstd": [VALID, *_grids(), SORT, HALVES, _REST(8)],
+    "web-mobile-sh3-q8": [*_pruned(0.01, 50.0), *_grids(), SORT, HALVES, _REST(8)],
+    "web-mobile-sog-clone": [VALID, *_grids(16, 8, 8), SORT, _REST(8)],
+    "wmd-sog-clone": [VALID, SORT, step("delta"), _REST(8)],
+    "web-mobile-vq45": _palette(65_536, first=_pruned(0.01, 50.0)),
+    "wmv-vq45-no-prune": _palette(65_536),
+    "wmv-vq45-no-prune-tight": _palette(65_536, *_TIGHT),
+    "wmv-vq45-no-prune-tight-smallest3": _palette(65_536, step("rotation_smallest3", bits=10), step("dc", bits=8)),
+    **{f"wmv-vq45k{k}-no-prune-tight": _palette(k, *_TIGHT) for k in (1024, 4096, 16_384)},
+    "wmv-vq45k4096-posthac-no-prune-tight": _palette(4096, *_TIGHT),
+    "wmv-vq45-posthac-no-prune-tight": _palette(65_536, *_TIGHT),
+    "wmv-vq45-tight-v2": _palette(65_536, *_TIGHT, first=[VALID, step("lod_merge")]),
+    "sog-render-weighted": [VALID, SORT, step("palette", k=4096)],
 }
 
 
@@ -106,7 +130,7 @@ def with_rate_distortion(steps: list[Step], keep: float) -> list[Step]:
 
 
 #: Operators that read their input several times.
-SEVERAL_PASSES = {"morton", "rate_distortion", "floaters", "bundle", "rest", "rest_dct"}
+SEVERAL_PASSES = {"morton", "rate_distortion", "floaters", "bundle", "rest", "rest_dct", "delta", "palette", "lod_merge"}
 
 
 def run(df: DataFrame, steps: list[Step]) -> DataFrame:

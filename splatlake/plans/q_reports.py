@@ -57,19 +57,44 @@ query("attribute_l1", f"with {BOX.format('xl')}, q as (select xl.*, {', '.join(f
 )
 query("scene_digest")(lambda load: load("xl").sparkSession.createDataFrame([(report.digest(order.morton_sort(load("xl"))),)], "digest string"))
 
-# presets
-_WM = f"""with va as (select splat_id, x, y, z, qx, qy, qz, qw, sx, sy, sz, opacity from xl where opacity > 0.01e0), {BOX.format('va')},
-    sc as (select min(sx) as lo_sx, max(sx) as hi_sx, min(sy) as lo_sy, max(sy) as hi_sy, min(sz) as lo_sz, max(sz) as hi_sz from va),
-    qu as (select splat_id, {', '.join(f'{X.qz(c, 16, f"lo_{c}", f"hi_{c}")} as {c}' for c in 'xyz')}, {', '.join(f'{X.qz(c, 12, f"lo_{c}", f"hi_{c}")} as {c}' for c in ('sx', 'sy', 'sz'))}, {', '.join(f'{X.qz(c, 12, "-1e0", "1e0")} as g{c}' for c in ('qx', 'qy', 'qz', 'qw'))}, opacity from va, box, sc),
-    b2 as (select min(x) as lo_x, max(x) as hi_x, min(y) as lo_y, max(y) as hi_y, min(z) as lo_z, max(z) as hi_z from qu),
-    pt as (select qu.*, {', '.join(f'{X.lattice(c, f"lo_{c}", f"hi_{c}", 10)} as i{c}' for c in 'xyz')} from qu, b2), co as (select *, {X.morton('ix', 'iy', 'iz', 10)} as code from pt)"""
-_WM_OUT = [ID, *rounded(("x", "y", "z", "sx", "sy", "sz", "qx", "qy", "qz", "qw", "opacity")), "rank"]
-_UNIT = dict(zip(("qx", "qy", "qz", "qw"), X.quat_norm("gqx", "gqy", "gqz", "gqw"), strict=True))
-query("preset_web_mobile", f"{_WM}, un as (select splat_id, x, y, z, sx, sy, sz, {', '.join(f'{e} as {n}' for n, e in _UNIT.items())}, opacity, row_number() over (order by code, splat_id) - 1 as rank from co) select {', '.join(_WM_OUT)} from un")(
-    lambda load: presets.run(load("xl"), [s for s in presets.PRESETS["web-mobile"] if s[0] != "degree"]).selectExpr(*_WM_OUT)
-)
+# presets; the twins are written from the chains' definitions, step by step, in SQL of their own
+def _grid_sql(c: str, bits: int, box: str) -> str:
+    top = f"{2**bits - 1}e0"
+    return f"(case when {box}.hi_{c} > {box}.lo_{c} then {box}.lo_{c} + round(({c} - {box}.lo_{c}) / ({box}.hi_{c} - {box}.lo_{c}) * {top}) / {top} * ({box}.hi_{c} - {box}.lo_{c}) else {c} end)"
+
+
+def _ends(columns: str) -> str:
+    return ", ".join(f"min({c}) as lo_{c}, max({c}) as hi_{c}" for c in columns.split())
+
+
+def _plain_chain(position: int, scale: int, rotation: int, opacity: float | None, ratio: float | None, strides: tuple[int, ...]) -> str:
+    """Prunes, grids, constant colour, Morton order, levels."""
+    kept = [f"opacity > {opacity!r}::float8"] * (opacity is not None) + [f"greatest(sx, sy, sz) <= {ratio!r}::float8 * least(sx, sy, sz)"] * (ratio is not None)
+    half = f"{2**rotation - 1}e0"
+    turned = {q: f"(round(({q} + 1e0) / 2e0 * {half}) / {half} * 2e0 - 1e0)" for q in ("qx", "qy", "qz", "qw")}
+    norm = "sqrt(" + " + ".join(f"{e} * {e}" for e in turned.values()) + ")"
+    bits = " + ".join(f"((i{c} >> {i}) & 1) * {1 << (3 * i + k)}" for i in range(10) for k, c in enumerate("xyz"))
+    return f"""with p1 as (select * from splats where {' and '.join(kept) or 'true'}), b1 as (select {_ends('x y z sx sy sz')} from p1),
+        g as (select splat_id, opacity, dc0, {', '.join(f'{_grid_sql(c, position, "b1")} as {c}' for c in 'xyz')}, {', '.join(f'{_grid_sql(c, scale, "b1")} as {c}' for c in ('sx', 'sy', 'sz'))}, {', '.join(f'{e} / {norm} as {q}' for q, e in turned.items())} from p1, b1),
+        b2 as (select {_ends('x y z')} from g), l as (select g.*, {', '.join(f'cast(round(({c} - lo_{c}) / (hi_{c} - lo_{c}) * 1023) as bigint) as i{c}' for c in 'xyz')} from g, b2),
+        o as (select *, row_number() over (order by {bits}, splat_id) - 1 as rank from l)
+        select {', '.join(_PRESET[:-2])}, cast(0 as int) as n_rest, cast({' + '.join(['1', *[f'case when rank % {s} = 0 then 1 else 0 end' for s in strides]])} as int) as n_levels from o"""
+
+
+_PRESET = [ID, *rounded(("x", "y", "z", "sx", "sy", "sz", "qx", "qy", "qz", "qw", "opacity", "dc0")), "rank", "greatest(coalesce(size(rest), 0), 0) as n_rest", "coalesce(size(levels), 1) as n_levels"]
+
+
+def _preset(load, name: str):
+    d = presets.run(load("splats"), presets.PRESETS[name])
+    return (d if "levels" in d.columns else d.withColumn("levels", F.lit(None).cast("array<int>"))).selectExpr(*_PRESET)
+
+
+query("preset_web_mobile", _plain_chain(15, 12, 12, 0.01, 50.0, (2, 4)))(lambda load: _preset(load, "web-mobile"))
+query("preset_visionos_preview", _plain_chain(15, 8, 8, 0.02, None, ()))(lambda load: _preset(load, "visionos-preview"))
+query("preset_wmv_no_prune", _plain_chain(15, 12, 12, None, None, (2, 4)))(lambda load: _preset(load, "wmv-no-prune"))
+for _name in ("web-desktop", "quest-browser", "thumbnail-preview", "size-min", "geospatial", "hero", "wmd-b8", "web-mobile-sh3-q8"):
+    query(f"preset_{_name.replace('-', '_')}")(lambda load, n=_name: _preset(load, n))
 query("preset_lossless", f"with {_sorted('xl')} select splat_id, rank from m")(lambda load: presets.run(load("xl"), presets.PRESETS["lossless-repack"]).select(ID, "rank"))
-query("preset_size_min")(lambda load: presets.run(load("splats"), presets.PRESETS["size-min"]).select(ID, "rank"))
 query("preset_report")(lambda load: (lambda s: s.sparkSession.createDataFrame([(x["name"], x["removed"]) for x in presets.run_reported(s, presets.PRESETS["web-mobile"])[1].steps], "name string, removed long"))(load("splats")))
 
 # catalogues: parts as scenes, customers' regions as sources

@@ -96,11 +96,11 @@ query("bundle_edges", f"with {_EDGES} select a, b from ed")(lambda load: cluster
 query("bundle_components", f"with {_EDGES}, {_COMP} select a as splat_id, l as comp from c14")(lambda load: cluster.bundle(load("splats"), 0.1, 2.5).select(ID, "comp"))
 _W = "least(greatest(opacity, 0e0), 1e0 - 1e-7)"
 _MEAN = lambda c: f"case when sum(w) > 1e-9 then sum({c} * w) / sum(w) else avg({c}) end"
-_MERGED = [ID, "members", *rounded(("x", "y", "z", "dc0", "sx", "opacity")), "label"]
+_MERGED = [ID, "members", *rounded(("x", "y", "z", "dc0", "sx", "opacity", "qx", "r7", "r44")), "label"]
 query(
     "bundle_merge",
-    f"with {_EDGES}, {_COMP}, g as (select l as comp, s.*, {_W} as w from c14 join splats s on a = splat_id), h as (select *, row_number() over (partition by comp order by w desc, splat_id) as n from g), m as (select comp as splat_id, count(*) as members, {_MEAN('x')} as x, {_MEAN('y')} as y, {_MEAN('z')} as z, {_MEAN('dc0')} as dc0, case when count(*) = 1 then max(sx) else greatest((max(x) - min(x)) * 0.5e0, max(case when n = 1 then sx end)) end as sx, case when count(*) = 1 then max(opacity) else 1e0 - exp(sum(ln(1e0 - w))) end as opacity, max(case when n = 1 then label end) as label from h group by comp) select {', '.join(_MERGED)} from m",
-)(lambda load: cluster.merge_bundles(cluster.bundle(load("splats"), 0.1, 2.5)).selectExpr(*_MERGED))
+    f"with {_EDGES}, {_COMP}, g as (select l as comp, s.*, {_W} as w from c14 join splats s on a = splat_id), h as (select *, row_number() over (partition by comp order by w desc, splat_id) as n from g), m as (select comp as splat_id, count(*) as members, {_MEAN('x')} as x, {_MEAN('y')} as y, {_MEAN('z')} as z, {_MEAN('dc0')} as dc0, {_MEAN('rest[8]')} as r7, {_MEAN('rest[45]')} as r44, max(case when n = 1 then qx end) as qx, case when count(*) = 1 then max(sx) else greatest((max(x) - min(x)) * 0.5e0, max(case when n = 1 then sx end)) end as sx, case when count(*) = 1 then max(opacity) else 1e0 - exp(sum(ln(1e0 - w))) end as opacity, max(case when n = 1 then label end) as label from h group by comp) select {', '.join(_MERGED)} from m",
+)(lambda load: cluster.merge_bundles(cluster.bundle(load("splats"), 0.1, 2.5)).selectExpr("*", "rest[7] as r7", "rest[44] as r44").selectExpr(*_MERGED))
 _COV = X.covariance()
 _SECOND = {"cxx": "x * x", "cxy": "x * y", "czz": "z * z"}
 _VOX = ["vx", "vy", "vz", "members", *rounded(("w", "wx", "wy", "wz", "wcxx", "wcxy", "wczz"))]
@@ -110,6 +110,8 @@ query(
 )(lambda load: cluster.voxel_groups(load("xl"), 200.0, 64, 1000.0, 20.0).selectExpr(*_VOX))
 query("lod_merge_shapes")(lambda load: cluster.merged_shapes(cluster.voxel_groups(load("xl"), 200.0, 64, 1000.0, 20.0)).selectExpr("vx", "vy", "vz", "members", *rounded(("sx", "sy", "sz"))))
 
+query("lod_merge")(lambda load: cluster.lod_merge(load("xl"), 20.0, 200.0, 64, 1000.0).selectExpr(ID, *rounded(("x", "y", "z", "sx", "sy", "sz", "opacity", "dc0"))))
+
 #: Anchors of the prediction: every 16th of the id order.
 _PRED = [ID, *rounded({f"p_{a}": f"p_{a}" for a in ("x", "opacity", "sx", "dc0")})]
 query(
@@ -118,6 +120,9 @@ query(
 )(lambda load: codec.anchor_prediction(order.morton_sort(load("splats")), 16, 2).selectExpr(*_PRED))
 
 
+query("splat_delta")(lambda load: codec.splat_delta(order.morton_sort(load("splats")), 16, 2, 8).selectExpr(ID, *rounded(("x", "opacity", "sx", "dc0", "delta_error"))))
+
+
 def _centroids(df, k: int = 8):
     return np.array([x["rest"] for x in df.where(F.col(ID) < k).orderBy(ID).collect()])
 

@@ -168,12 +168,13 @@ query(
     t as (select ch, greatest(a, 1e-9) as t from o where n = least(cast(floor(0.995e0 * c) as bigint), c - 1) + 1)
     select splat_id, e.ch as ch, round(round(greatest(least(v / t, 1e0), -1e0) * 127) / 127 * t, 6) + 0e0 as v from e join t on e.ch = t.ch""",
 )(lambda load: quantize.rest(load("splats")).selectExpr(ID, "posexplode(rest) as (p, w)").selectExpr(ID, "cast(p + 1 as bigint) as ch", "round(w, 6) + 0e0 as v"))
-_DCT = quantize.dct_matrix()
-_BITS = (8,) * 4 + (6,) * 5 + (4,) * 6
-_FORWARD = ", ".join(f"{' + '.join(f'{X.num(_DCT[k][i])} * rest[{3 * i + c + 1}]' for i in range(15))} as f{c}_{k}" for c in range(3) for k in range(15))
-_TOPS = ", ".join(f"greatest(max(abs(f{c}_{k})), 1e-12) as m{c}_{k}" for c in range(3) for k in range(15))
-_ON = ", ".join(f"round(f{c}_{k} / m{c}_{k} * {X.num(2 ** (_BITS[k] - 1) - 1)}) / {X.num(2 ** (_BITS[k] - 1) - 1)} * m{c}_{k} as g{c}_{k}" for c in range(3) for k in range(15))
-_INVERSE = ", ".join(f"{r(' + '.join(f'{X.num(_DCT[k][i])} * g{c}_{k}' for k in range(15)), 5)} as r{3 * i + c}" for i in (0, 1, 7, 14) for c in range(3))
-query("sh_dct", f"with f as (select splat_id, {_FORWARD} from splats), m as (select {_TOPS} from f), q as (select splat_id, {_ON} from f, m) select splat_id, {_INVERSE} from q")(lambda load: quantize.rest_dct(load("splats")).selectExpr(ID, *[f"{r(f'rest[{3 * i + c}]', 5)} as r{3 * i + c}" for i in (0, 1, 7, 14) for c in range(3)]))
+query(
+    "sh_dct",
+    """with e as (select splat_id, c, i, case when i > 0 then rest[3 * (i - 1) + c + 1] when c = 0 then dc0 when c = 1 then dc1 else dc2 end as v from splats, (select unnest(range(3)) as c), (select unnest(range(16)) as i)),
+    w as (select k, i, case when k = 0 then sqrt(1e0 / 16) else sqrt(2e0 / 16) end * cos(pi() * (2 * i + 1) * k / 32) as a from (select unnest(range(16)) as k), (select unnest(range(16)) as i)),
+    f as (select splat_id, c, k, sum(a * v) as f from e join w using (i) group by splat_id, c, k), m as (select c, k, max(abs(f)) / 63e0 as step from f group by c, k),
+    q as (select splat_id, c, k, case when step > 0 then least(greatest(round(f / step), -63e0), 63e0) * step else 0e0 end as f from f join m using (c, k))
+    select splat_id, c, i, round(sum(a * f), 5) + 0e0 as v from q join w using (k) group by splat_id, c, i""",
+)(lambda load: quantize.rest_dct(load("splats")).selectExpr(ID, "posexplode(concat(array(dc0, dc1, dc2), rest)) as (p, w)").selectExpr(ID, "cast(p % 3 as bigint) as c", "cast(p div 3 as bigint) as i", "round(w, 5) + 0e0 as v"))
 query("reduce_sh_0", "select splat_id, cast(0 as int) as n from splats")(lambda load: quantize.reduce_degree(load("splats"), 0).selectExpr(ID, "cast(coalesce(size(rest), 0) as int) as n"))
 query("reduce_sh_1", "select splat_id, cast(9 as int) as n, round(rest[9], 6) + 0e0 as last from splats")(lambda load: quantize.reduce_degree(load("splats"), 1).selectExpr(ID, "size(rest) as n", "round(rest[8], 6) + 0e0 as last"))
