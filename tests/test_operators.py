@@ -92,7 +92,7 @@ def test_components_of_long_chains(spark, monkeypatch):
     links = spark.createDataFrame([*zip(ids[:399], ids[1:400]), *zip(ids[400:-1], ids[401:])], "a long, b long")
     got = {r["node"]: r["comp"] for r in graph.components(links).collect()}
     assert got == {v: min(part) for part in (ids[:400], ids[400:]) for v in part}
-    assert len(rounds) <= 2 + 15
+    assert len(rounds) <= 1 + 3 * 8
 
 
 def test_merge_is_beer_lambert(spark):
