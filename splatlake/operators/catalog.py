@@ -106,3 +106,21 @@ def rolling(cells: DataFrame, keys: list[str], time: str, value: str, n: int) ->
     """``cells`` with the mean of the last n values of the key."""
     w = Window.partitionBy(*keys).orderBy(*([time] if isinstance(time, str) else time)).rowsBetween(-(n - 1), 0)
     return cells.withColumn("rolling", F.avg(value).over(w))
+
+
+def jobs(table: DataFrame, status: str = "all", batch: str | int | None = None, since: str | None = None, start: int = 0, size: int = 20) -> DataFrame:
+    """A page of jobs (job_id, status, batch_id, created_at), newest first, ties by id; filters reach the scan."""
+    out = table if status == "all" else table.where(F.col("status") == status)
+    if batch is not None:
+        out = out.where(F.col("batch_id") == batch)
+    if since is not None:
+        out = out.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
+    return page(out, [F.desc("created_at"), F.col("job_id")], start, size)
+
+
+def pair_sidecars(files: DataFrame, tile: str = "glb", sidecar: str = "shpal") -> DataFrame:
+    """(path, sidecar) of each tile file of ``files`` (path): its sidecar has the tile's name and one extension more; null
+    where there is none. Repeated paths count once."""
+    paths = files.select("path").distinct()
+    sides = paths.where(F.endswith("path", F.lit(f".{tile}.{sidecar}"))).select(F.col("path").alias("sidecar"))
+    return paths.where(F.endswith("path", F.lit(f".{tile}"))).join(sides, F.concat("path", F.lit(f".{sidecar}")) == F.col("sidecar"), "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -97,3 +97,38 @@ def progressive(df: DataFrame) -> DataFrame:
 def cut_rows(n: int, bytes_: int, offset: int, record: int) -> int:
     """Whole records in the first ``bytes_`` of a progressive file."""
     return max(0, min(n, (bytes_ - offset) // record))
+
+
+def float_bits(value: Column) -> Column:
+    """The bits of a single-precision number of at least 0, as a long: 2^23 steps between powers of two, so the bits are a
+    continuous function of the exponent, and an exponent one too low at a power of two gives the same bits."""
+    d = value.cast("float").cast("double")
+    exponent = F.floor(F.log2(d))
+    bits = (exponent + 126) * 8388608 + d / F.pow(F.lit(2.0), exponent) * 8388608
+    return F.when(d < 2.0**-126, d * 2.0**149).when(d > 3.4028234663852886e38, 2139095040).otherwise(bits).cast("long")
+
+
+def depth_order(df: DataFrame, eye: tuple[float, float, float], forward: tuple[float, float, float]) -> DataFrame:
+    """``df`` with depth along ``forward``, key and place from back to front.
+
+    The key is 2^32 - 1 less the bits of the depth in single precision; depths behind the eye and NaN count as 0. Ties by id.
+    """
+    depth = sum((F.col(c) - e) * f for c, e, f in zip("xyz", eye, forward, strict=True))
+    held = F.greatest(F.nanvl(F.col("depth"), F.lit(0.0)), F.lit(0.0))
+    return stats.rank(df.withColumn("depth", depth).withColumn("key", 4294967295 - float_bits(held)), ["key", "splat_id"], "place")
+
+
+def checksums(df: DataFrame, columns: tuple[str, ...], size: int) -> DataFrame:
+    """(chunk, splats, sha256) of chunks of ``size`` ranks: the digest of the rows' values by rank, a line each, null as
+    ``null``. A chunk's lines meet in one row; ``size`` bounds them."""
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+    rows = df.select(F.expr(f"rank div {size}").alias("chunk"), F.struct("rank", line.alias("line")).alias("r"))
+    text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]))
+    return rows.groupBy("chunk").agg(F.count("*").alias("splats"), F.sha2(text, 256).alias("sha256"))
+
+
+def verify(df: DataFrame, stored: DataFrame, columns: tuple[str, ...], size: int) -> DataFrame:
+    """(chunk, state) of each stored or present chunk against its ``checksums``: ok, mismatch, missing or unexpected."""
+    now = checksums(df, columns, size).select("chunk", F.col("sha256").alias("now"))
+    state = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when(F.col("now") == F.col("sha256"), "ok").otherwise("mismatch")
+    return stored.select("chunk", "sha256").join(now, "chunk", "full_outer").select("chunk", state.alias("state"))

@@ -11,16 +11,21 @@ from ..functions import exprs as X
 from . import prune, spatial, stats
 
 
-def analyze(df: DataFrame) -> DataFrame:
-    """One row: count, box, opacity (min, max, mean, averaged median), scales, degree, memory estimates."""
+def analyze(df: DataFrame, median: bool = True) -> DataFrame:
+    """One row: count, box, opacity (min, max, mean, averaged median; 0 of no splats), scales, degree, memory estimates.
+
+    The median is counted in passes before (``stats.nth``), as an aggregate would hold all distinct values in one task;
+    without ``median`` it is null and no pass is made.
+    """
     s = F.array("sx", "sy", "sz")
+    middle = stats.percentile_linear(df, "opacity", 0.5) if median else None
     return df.agg(
         F.count("*").alias("splats"),
         *[f(c).alias(f"{p}_{c}") for c in "xyz" for p, f in (("lo", F.min), ("hi", F.max))],
         F.min("opacity").alias("opacity_min"),
         F.max("opacity").alias("opacity_max"),
         F.avg("opacity").alias("opacity_mean"),
-        F.percentile("opacity", F.lit(0.5)).alias("opacity_median"),
+        F.lit(middle).cast("double").alias("opacity_median"),
         F.min(F.array_min(s)).alias("scale_min"),
         F.max(F.array_max(s)).alias("scale_max"),
         (F.sum(F.col("sx") + F.col("sy") + F.col("sz")) / (3 * F.count("*"))).alias("scale_mean"),
@@ -122,8 +127,12 @@ def attribute_l1(one: DataFrame, two: DataFrame, columns: tuple[str, ...] = prun
 
 
 def digest(ranked: DataFrame, columns: tuple[str, ...] = prune.NUMBERS, chunk: int = 4096) -> str:
-    """An order-sensitive digest: sha256 of rows, of chunks of rows by rank, of all chunks. Not BLAKE3."""
-    row = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    """An order-sensitive digest: sha256 of rows, of chunks of rows by rank, of all chunks. Not BLAKE3.
+
+    Rest coefficients count where the scene has them; a null is a value of its own.
+    """
+    held = [*columns, *[c for c in ("rest",) if c in ranked.columns]]
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in held]), 256)
     parts = ranked.select("rank", row.alias("h")).groupBy(F.expr(f"rank div {chunk}").alias("c")).agg(F.array_sort(F.collect_list(F.struct("rank", "h"))).alias("l"))
     got = parts.select("c", F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ""), 256).alias("h")).orderBy("c").toLocalIterator()
     total = hashlib.sha256()
@@ -140,3 +149,18 @@ def tier(df: DataFrame) -> DataFrame:
     """The quality tier that a scene's first splat calls for."""
     first = df.orderBy("splat_id").limit(1).select(F.greatest(F.floor((F.coalesce(F.size("rest"), F.lit(0)) + 3) / 3), F.lit(1)).cast("int").alias("cpc"))
     return first.select("cpc", F.expr("case cpc when 1 then 0 when 4 then 1 when 9 then 2 when 16 then 3 end").alias("sh_degree"), F.expr(TIER).alias("tier"), (F.col("cpc") > 1).alias("has_rest"))
+
+
+def frame_metrics(frames: DataFrame, value: str) -> DataFrame:
+    """One row (max, mean, p95, count) of a value of each frame; p95 is linear between neighbours, all are 0 for no frames."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    v = frames.select(F.expr(value).cast("double").alias("v")).where("v is not null")
+    return v.agg(zero(F.max("v")).alias("max"), zero(F.avg("v")).alias("mean"), F.lit(stats.percentile_linear(v, "v", 0.95)).alias("p95"), F.count("*").alias("count"))
+
+
+def advice(df: DataFrame, file_bytes: int, sigma: float = 5.0) -> DataFrame:
+    """(kind, code, n): a warning where splats lie over ``sigma`` deviations from the centre, with their number; the mobile
+    preset recommended for files over 100 MiB."""
+    far = far_splats(df, sigma).where("far > 0").select(F.lit("warning").alias("kind"), F.lit("floater_cluster_detected").alias("code"), F.col("far").cast("long").alias("n"))
+    large = df.sparkSession.createDataFrame([("recommendation", "web-mobile", file_bytes)] if file_bytes > 100 * 1024 * 1024 else [], far.schema)
+    return far.unionByName(large)

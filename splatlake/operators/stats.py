@@ -90,6 +90,23 @@ def floor_percentile(df: DataFrame, value: str, p: float) -> float:
     return nth(df, value, [min(int(p * n), n - 1)])[0] if n else 0.0
 
 
+def mad(df: DataFrame, value: str) -> tuple[float, float]:
+    """The upper median and the upper median of the absolute distances from it; NaN for no values."""
+    middle = upper_median(df, value)
+    return middle, upper_median(df.select(F.abs(F.expr(value) - F.lit(middle)).alias("d")), "d")
+
+
+def percentile_linear(df: DataFrame, value: str, p: float) -> float:
+    """The value at p (n - 1) of the ascending order, linear between its neighbours; 0 for no values."""
+    n = df.where(F.expr(value).isNotNull()).count()
+    if not n:
+        return 0.0
+    at = (n - 1) * p
+    low, high = int(at), -int(-at // 1)
+    a, b = nth(df, value, [low, high])
+    return a if low == high else a * (high - at) + b * (at - low)
+
+
 def rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
     """``df`` with ``name``: the place (from 0) in a total order.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -134,3 +134,19 @@ def near_far(chunks: DataFrame, cameras: DataFrame) -> DataFrame:
     near = d.groupBy("camera").agg(F.min("s").alias("near"))
     far = d.join(near, "camera").where("s > near").groupBy("camera").agg(F.min("s").alias("far"))
     return near.join(far, "camera", "left").select("camera", F.col("near.chunk").alias("near"), F.coalesce("far.chunk", "near.chunk").alias("far"))
+
+
+def by_proximity(chunks: DataFrame, eye: tuple[float, float, float]) -> DataFrame:
+    """``chunks`` (chunk, cx, cy, cz) with the squared distance of their centres to the eye and their place, nearest first,
+    ties by chunk."""
+    d2 = sum((F.col(f"c{c}") - e) * (F.col(f"c{c}") - e) for c, e in zip("xyz", eye, strict=True))
+    return stats.rank(chunks.withColumn("d2", d2), ["d2", "chunk"], "place")
+
+
+def fetch_queue(asks: DataFrame) -> DataFrame:
+    """(frame, tile, sse, seq, place): each tile asked for in a frame once, by its largest screen-space error, the first
+    asked at ties; places from 0 by error descending, then by seq. Null errors come last."""
+    error = F.coalesce("sse", F.lit(float("-inf")))
+    first = asks.groupBy("frame", "tile").agg(F.min(F.struct((-error).alias("e"), "seq", "sse")).alias("a")).select("frame", "tile", "a.*")
+    place = F.row_number().over(Window.partitionBy("frame").orderBy("e", "seq", "tile")) - 1
+    return first.select("frame", "tile", "sse", "seq", place.cast("long").alias("place"))

@@ -12,10 +12,10 @@ from .q_values import BOX, ID
 from .tools import query, r, rounded
 
 _BOX = [*rounded([f"{p}_{c}" for c in "xyz" for p in ("lo", "hi")])]
-query("analyze_bbox", f"with {BOX.format('xl')}, n as (select count(*) as splats from xl) select splats, {', '.join(_BOX)} from box, n")(lambda load: report.analyze(load("xl")).selectExpr("splats", *_BOX))
+query("analyze_bbox", f"with {BOX.format('xl')}, n as (select count(*) as splats from xl) select splats, {', '.join(_BOX)} from box, n")(lambda load: report.analyze(load("xl"), median=False).selectExpr("splats", *_BOX))
 query("analyze_opacity", f"select {', '.join(rounded({'lo': 'min(opacity)', 'hi': 'max(opacity)', 'mean': 'avg(opacity)', 'median': 'quantile_cont(opacity, 0.5)'}))} from xl")(lambda load: report.analyze(load("xl")).selectExpr(*rounded({"lo": "opacity_min", "hi": "opacity_max", "mean": "opacity_mean", "median": "opacity_median"})))
-query("analyze_scale", f"select {', '.join(rounded({'lo': 'min(least(sx, sy, sz))', 'hi': 'max(greatest(sx, sy, sz))', 'mean': 'sum(sx + sy + sz) / (3 * count(*))'}))} from xl")(lambda load: report.analyze(load("xl")).selectExpr(*rounded({"lo": "scale_min", "hi": "scale_max", "mean": "scale_mean"})))
-query("analyze_memory", "select count(*) * 60 // 1048576 as mb_plain, count(*) * 110 // 1048576 as mb_gpu from xl")(lambda load: report.analyze(load("xl")).select("mb_plain", "mb_gpu"))
+query("analyze_scale", f"select {', '.join(rounded({'lo': 'min(least(sx, sy, sz))', 'hi': 'max(greatest(sx, sy, sz))', 'mean': 'sum(sx + sy + sz) / (3 * count(*))'}))} from xl")(lambda load: report.analyze(load("xl"), median=False).selectExpr(*rounded({"lo": "scale_min", "hi": "scale_max", "mean": "scale_mean"})))
+query("analyze_memory", "select count(*) * 60 // 1048576 as mb_plain, count(*) * 110 // 1048576 as mb_gpu from xl")(lambda load: report.analyze(load("xl"), median=False).select("mb_plain", "mb_gpu"))
 query(
     "analyze_floaters",
     "with c as (select avg(x) as a, avg(y) as b, avg(z) as c, count(*) as n from splats), d as (select (x - a) * (x - a) + (y - b) * (y - b) + (z - c.c) * (z - c.c) as d2, n from splats, c), v as (select avg(d2) as v from d) select count(*) filter (n >= 4 and d2 > 2.25e0 * v) as far from d, v",

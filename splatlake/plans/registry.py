@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import view
 from ..operators import order
-from . import presets, q_reports, q_structure, q_values  # noqa: F401
+from . import presets, q_delivery, q_reports, q_structure, q_values  # noqa: F401
 from .tools import ORACLES, QUERIES
 
 

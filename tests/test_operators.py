@@ -190,3 +190,39 @@ def test_documents_are_json(spark):
     df, _ = scene(spark)
     nodes = tiles.node_table(tiles.octree(df, 3, 60))
     assert json.loads(layout.tileset(nodes, 1.0))["root"]["children"]
+
+
+def test_float_bits_and_depth_order(spark):
+    values = [0.0, 1e-45, 1e-40, 1.1754943508222875e-38, 0.1, 0.5, 0.99999994, 1.0, 1.0000001, 2.0, 3.5, 1023.9999, 1e30, 3.4028234663852886e38, float("inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "splat_id long, v double")
+    got = {r["splat_id"]: r["b"] for r in df.select("splat_id", order.float_bits(F.col("v")).alias("b")).collect()}
+    assert got == {i: int(np.float32(v).view(np.uint32)) for i, v in enumerate(values)}
+    splats = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 0.0, 0.0, -5.0), (3, 0.0, 0.0, float("nan")), (4, 0.0, 0.0, 9.0), (5, 0.0, 0.0, 5.0)], "splat_id long, x double, y double, z double")
+    places = order.depth_order(splats, (0.0, 0.0, 0.0), (0.0, 0.0, 1.0)).orderBy("place")
+    assert [r["splat_id"] for r in places.collect()] == [4, 1, 5, 2, 3]
+
+
+def test_percentile_and_mad(spark):
+    values = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert stats.percentile_linear(df, "v", 0.95) == pytest.approx(np.percentile(values, 95))
+    assert stats.mad(df, "v") == (3.0, 2.0)
+    assert stats.percentile_linear(df.where("v > 99"), "v", 0.95) == 0.0
+    none = report.frame_metrics(df.where("v > 99"), "v").first()
+    assert (none["max"], none["mean"], none["p95"], none["count"]) == (0.0, 0.0, 0.0, 0)
+
+
+def test_chunk_states_and_digest_nulls(spark):
+    df = spark.createDataFrame([(i, i, f"v{i}") for i in range(10)], "rank long, splat_id long, v string")
+    stored = order.checksums(df, ("splat_id", "v"), 3)
+    changed = df.where("rank < 9").withColumn("v", F.when(F.col("rank") == 4, F.lit(None)).otherwise(F.col("v")))
+    states = {r["chunk"]: r["state"] for r in order.verify(changed, stored.where("chunk > 0"), ("splat_id", "v"), 3).collect()}
+    assert states == {0: "unexpected", 1: "mismatch", 2: "ok", 3: "missing"}
+    nulls = [spark.createDataFrame([(0, a, b)], "rank long, a double, b double") for a, b in ((None, 1.0), (1.0, None))]
+    assert report.digest(nulls[0], ("a", "b")) != report.digest(nulls[1], ("a", "b"))
+
+
+def test_fetch_queue_keeps_first_of_the_largest_error(spark):
+    asks = spark.createDataFrame([(0, "a", 2.0, 0), (0, "b", 5.0, 1), (0, "a", 7.0, 2), (0, "c", 5.0, 3), (0, "a", 7.0, 4), (0, "d", None, 5), (1, "b", 1.0, 6)], "frame long, tile string, sse double, seq long")
+    got = [(r["frame"], r["tile"], r["seq"]) for r in tiles.fetch_queue(asks).orderBy("frame", "place").collect()]
+    assert got == [(0, "a", 2), (0, "b", 1), (0, "c", 3), (0, "d", 5), (1, "b", 6)]
