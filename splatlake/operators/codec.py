@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -59,25 +59,8 @@ def delta_rmse(rebuilt: DataFrame) -> DataFrame:
 
 
 def nearest_of(points: DataFrame, k: int) -> DataFrame:
-    """(splat_id, other, d2): of every row that isn't an anchor the k nearest anchors, by growing rings of cells."""
-    cells, cell = spatial.grid(points.where("anchor"))
-    lo = points.where("anchor").agg(*[F.min(c).alias(c) for c in "xyz"]).first()
-    ask = points.where("not anchor").select("splat_id", "x", "y", "z", *[F.floor((F.col(c) - F.lit(lo[c])) / cell).alias(f"c{c}") for c in "xyz"])
-    cells, ask = cut(cells), cut(ask)
-    reach = ask.agg(F.max(F.greatest(F.abs("cx"), F.abs("cy"), F.abs("cz")))).first()[0] or 0
-    top = max(reach, cells.agg(F.max(F.greatest("cx", "cy", "cz"))).first()[0] or 0) * 2
-    out, rings = None, 1
-    order = Window.partitionBy("splat_id").orderBy("d2", "other")
-    while True:
-        best = cut(spatial.around(cells, rings, ask).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("splat_id", "other", "d2"))
-        done = best.groupBy("splat_id").agg(F.max("d2").alias("far"), F.count("*").alias("n"))
-        done = done if rings > top else done.where((F.col("n") == k) & (F.col("far") <= (rings * cell) ** 2))
-        ready = best.join(done.select("splat_id"), "splat_id", "left_semi")
-        out = ready if out is None else out.unionByName(ready)
-        ask = cut(ask.join(done, "splat_id", "left_anti"))
-        if rings > top or not ask.limit(1).count():
-            return out
-        rings = min(rings * 2, top + 1)
+    """(splat_id, other, d2): of every row that isn't an anchor the k nearest anchors."""
+    return spatial.nearest_among(points.where("not anchor"), points.where("anchor"), k).drop("place")
 
 
 def residuals(truth: DataFrame, other: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 from . import stats
 
+#: Rounds that ``descend`` makes at most (a cell's key has 6 bits for each); points of a cell that it doesn't divide.
+DEPTH, LEAF = 10, 32
+#: Points in the 27 cells around that one join may compare a splat with.
+DENSE = 1024
+
 
 def cell_size(extent: tuple[float, float, float], n: int) -> float:
     """Twice the spacing of n splats in the box, between 1/512 and 1/4 of its longest side."""
@@ -59,31 +64,82 @@ def ring_distance(df: DataFrame, k: int, most: int = 3) -> DataFrame:
     return cut(out)
 
 
-def nearest(df: DataFrame, k: int) -> DataFrame:
-    """Exactly the k nearest others of each splat: (splat_id, other, d2, place), ties by id.
+def _box_distance(far: bool) -> str:
+    """Squared distance from (x, y, z) to the nearest or the farthest place of the box lo_, hi_."""
+    side = "greatest(abs({c} - lo_{c}), abs({c} - hi_{c}))" if far else "greatest(lo_{c} - {c}, {c} - hi_{c}, 0e0)"
+    return " + ".join(f"{side} * {side}".format(c=c) for c in "xyz")
+
+
+def descend(ask: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Where the k nearest ``points`` of each row of ``ask`` lie: (splat_id, x, y, z, level, key) and the points by (level, key).
 
-    A splat is done once its k-th distance is within the rings looked at; the rest look one ring further, up to the grid's
-    extent, so nothing is compared with everything.
+    Both are (splat_id, x, y, z). Occupied cells alone are visited, from the whole box down. Each round divides the tight box
+    of a cell's points into 4 x 4 x 4, so a far outlier costs one round, whatever the scale of the rest. A cell is passed over
+    once others, all nearer than its nearest place, hold k + 1 points; a cell of at most ``LEAF`` points is not divided.
+    Points of one position count k + 1 times at most, those of smallest ids: more can't be among the k nearest of anything.
     """
-    cells, cell = grid(df)
+    own, box = ["splat_id", "x", "y", "z"], [f"{p}_{c}" for c in "xyz" for p in ("lo", "hi")]
+    same = Window.partitionBy("x", "y", "z").orderBy("splat_id")
+    few = points.select(*own, F.row_number().over(same).alias("n")).where(F.col("n") <= k + 1).drop("n")
+    active = stats.with_box(cut(few)).withColumn("key", F.lit(0).cast("long"))
+    child = F.lit(0)
+    for c in "xyz":
+        share = F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.floor((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * 4)).otherwise(0)
+        child = child * 4 + F.least(share, F.lit(3))
+    asking = ask.select(*own, F.lit(0).alias("level"), F.lit(0).cast("long").alias("key"), F.lit(False).alias("leaf"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("near"), F.lit(0.0).alias("far"))
+    places = None
+    nearest_first = Window.partitionBy("splat_id").orderBy("far", "level", "key").rowsBetween(Window.unboundedPreceding, 0)
+    for level in range(1, DEPTH + 1):
+        active = active.select(*own, F.col("key").alias("parent"), (F.col("key") * 64 + child).alias("key"))
+        cells = active.groupBy("parent", "key").agg(F.count("*").alias("n"), *[f(c).alias(f"{p}_{c}") for c in "xyz" for p, f in (("lo", F.min), ("hi", F.max))])
+        point = F.expr(" and ".join(f"lo_{c} = hi_{c}" for c in "xyz"))
+        cells = cut(cells.withColumn("leaf", (F.col("n") <= LEAF) | point | F.lit(level == DEPTH)))
+        active = cut(active.select(*own, "key").join(cells.select("key", "leaf", *box), "key"))
+        here = active.where("leaf").select(F.lit(level).alias("level"), "key", F.col("splat_id").alias("other"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
+        places = here if places is None else places.unionByName(here)
+        below = asking.where("not leaf").select(*own, F.col("key").alias("parent")).join(cells, "parent")
+        below = below.select(*own, F.lit(level).alias("level"), "key", "leaf", "n", F.expr(_box_distance(False)).alias("near"), F.expr(_box_distance(True)).alias("far"))
+        met = asking.where("leaf").unionByName(below).withColumn("upto", F.sum("n").over(nearest_first))
+        met = met.withColumn("enough", F.min(F.when(F.col("upto") > k, F.col("far"))).over(Window.partitionBy("splat_id")))
+        asking = cut(met.where("enough is null or near <= enough").drop("upto", "enough"))
+        if not asking.where("not leaf").limit(1).count():
+            break
+        active = active.where("not leaf")
+    return asking.select(*own, "level", "key"), places
+
+
+def nearest_among(ask: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """Exactly the k nearest ``points`` of each row of ``ask``, itself left out: (splat_id, other, d2, place), ties by id.
+
+    Where the 27 cells around hold more than k and at most ``DENSE`` points, and the k-th is within a cell's side, one join
+    on cells answers; for all others ``descend`` finds the few cells to look at. Rows without a finite position take no part.
+    """
+    finite = " and ".join(f"abs({c}) < double('infinity')" for c in "xyz")
+    ask, points = (d.select("splat_id", "x", "y", "z").where(finite) for d in (ask, points))
+    cells, cell = grid(points)
     cells = cut(cells)
-    top = cells.agg(F.max(F.greatest("cx", "cy", "cz"))).first()[0] or 0
-    asking, out, rings = cells, None, 1
+    lo = points.agg(*[F.min(c).alias(c) for c in "xyz"]).first()
+    asking = cut(ask.select("splat_id", "x", "y", "z", *[F.floor((F.col(c) - F.lit(lo[c] or 0.0)) / cell).alias(f"c{c}") for c in "xyz"]))
+    offsets, place = F.sequence(F.lit(-1), F.lit(1)), ["cx", "cy", "cz"]
+    counts = cells.groupBy(*place).agg(F.count("*").alias("n"))
+    for c in place:
+        counts = counts.withColumn("o", F.explode(offsets)).withColumn(c, F.col(c) + F.col("o")).drop("o")
+    full = counts.groupBy(*place).agg(F.sum("n").alias("n")).where(F.col("n").between(k + 1, DENSE)).select(*place)
     order = Window.partitionBy("splat_id").orderBy("d2", "other")
-    while True:
-        pairs = around(cells, rings, asking).where("splat_id <> other")
-        best = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("splat_id", "other", "d2", "place")
-        best = cut(best)
-        done = best.groupBy("splat_id").agg(F.max("d2").alias("far"), F.count("*").alias("n"))
-        done = done.where((F.col("n") == k) & (F.col("far") <= (rings * cell) ** 2)) if rings <= top else done
-        ready = best.join(done.select("splat_id"), "splat_id", "left_semi")
-        out = ready if out is None else out.unionByName(ready)
-        if rings > top:
-            return out
-        asking = cut(asking.join(done, "splat_id", "left_anti"))
-        if not asking.limit(1).count():
-            return out
-        rings = min(2 * rings, top + 1)
+    best = around(cells, 1, asking.join(full, place, "left_semi")).where("splat_id <> other").withColumn("place", F.row_number().over(order))
+    best = best.where(F.col("place") <= k).select("splat_id", "other", "d2", "place").withColumn("far", F.max("d2").over(Window.partitionBy("splat_id"))).withColumn("n", F.count("*").over(Window.partitionBy("splat_id")))
+    best = cut(best.where((F.col("n") == k) & (F.col("far") <= cell * cell)).select("splat_id", "other", "d2", "place"))
+    rest = cut(asking.join(best.select("splat_id"), "splat_id", "left_anti"))
+    if not rest.limit(1).count():
+        return best
+    where, places = descend(rest, points, k)
+    pairs = where.join(places, ["level", "key"]).where("splat_id <> other").select("splat_id", "other", F.expr("(x - x2) * (x - x2) + (y - y2) * (y - y2) + (z - z2) * (z - z2)").alias("d2"))
+    return best.unionByName(cut(pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)))
+
+
+def nearest(df: DataFrame, k: int) -> DataFrame:
+    """Exactly the k nearest others of each splat: (splat_id, other, d2, place), ties by id."""
+    return nearest_among(df, df, k)
 
 
 def within(df: DataFrame, radius: float) -> DataFrame:

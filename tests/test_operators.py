@@ -69,6 +69,53 @@ def test_nearest_is_exact(spark):
         assert [got[i, p] for p in (1, 2, 3)] == np.argsort(d[i], kind="stable")[:3].tolist()
 
 
+def uneven(n):
+    """A dense spot, copies of one position, a thin line and two far outliers."""
+    rng = np.random.default_rng(5)
+    spot, line = rng.normal(0, 1e-4, (n, 3)), np.stack([np.linspace(1, 50, 40)] + [np.zeros(40)] * 2, 1)
+    return np.concatenate([spot, np.tile([[3.0, 3.0, 3.0]], (n // 2, 1)), line, [[1e6, 0.0, 0.0], [1e6, 1e6, 1e6]]])
+
+
+def positions(spark, m):
+    return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(m)], "splat_id long, x double, y double, z double")
+
+
+def test_nearest_in_uneven_scenes(spark):
+    m = uneven(1500)
+    got = {}
+    for r in spatial.nearest(positions(spark, m), 3).collect():
+        got.setdefault(r["splat_id"], {})[r["place"]] = r["other"]
+    d = (m[:, None, 0] - m[None, :, 0]) ** 2 + (m[:, None, 1] - m[None, :, 1]) ** 2 + (m[:, None, 2] - m[None, :, 2]) ** 2
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(m)):
+        assert [got[i][p] for p in (1, 2, 3)] == np.argsort(d[i], kind="stable")[:3].tolist()
+
+
+def test_descent_meets_few(spark):
+    for n in (1500, 6000):
+        m = uneven(n)
+        df = positions(spark, m)
+        where, places = spatial.descend(df, df, 3)
+        assert where.join(places, ["level", "key"]).count() < 250 * len(m)
+
+
+def test_nearest_edge_cases(spark):
+    kind = "splat_id long, x double, y double, z double"
+    assert spatial.nearest(spark.createDataFrame([], kind), 2).count() == 0
+    assert spatial.nearest(spark.createDataFrame([(1, 0.0, 0.0, 0.0)], kind), 2).count() == 0
+    odd = [(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, None, 0.0, 0.0), (4, float("nan"), 0.0, 0.0), (5, float("inf"), 0.0, 0.0)]
+    assert {(r["splat_id"], r["other"], r["place"]) for r in spatial.nearest(spark.createDataFrame(odd, kind), 2).collect()} == {(1, 2, 1), (2, 1, 1)}
+
+
+def test_nearest_among_others(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0, 9, (50, 3)), rng.normal(0, 1, (120, 3))
+    ask, points = positions(spark, a), positions(spark, b).selectExpr("splat_id + 1000 as splat_id", "x", "y", "z")
+    got = {(r["splat_id"], r["place"]): r["other"] - 1000 for r in spatial.nearest_among(ask, points, 2).collect()}
+    d = ((a[:, None] - b[None]) ** 2).sum(2)
+    assert all([got[i, 1], got[i, 2]] == np.argsort(d[i])[:2].tolist() for i in range(50))
+
+
 def test_floaters_go_and_lattice_stays(spark):
     tight = [(i, 0.01 * (i % 4), 0.01 * (i // 4 % 4), 0.01 * (i // 16)) for i in range(64)]
     far = [(64 + i, 5.0 + 3 * i, 5.0, 5.0) for i in range(3)]
