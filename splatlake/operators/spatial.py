@@ -108,16 +108,23 @@ def descend(ask: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, DataF
     return asking.select(*own, "level", "key"), places
 
 
-def nearest_among(ask: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """Exactly the k nearest ``points`` of each row of ``ask``, itself left out: (splat_id, other, d2, place), ties by id.
+def nearest_among(ask: DataFrame, points: DataFrame, k: int, itself: bool = False) -> DataFrame:
+    """Exactly the k nearest ``points`` of each row of ``ask``: (splat_id, other, d2, place), ties by id. The point of the row's
+    own id is left out unless ``itself``.
 
     Where the 27 cells around hold more than k and at most ``DENSE`` points, and the k-th is within a cell's side, one join
-    on cells answers; for all others ``descend`` finds the few cells to look at. Rows without a finite position take no part.
+    on cells answers, as for ``LEAF`` points in all; for all others ``descend`` finds the few cells to look at. Rows without a finite position take no part.
     """
+    others = F.lit(True) if itself else F.col("splat_id") != F.col("other")
     finite = " and ".join(f"abs({c}) < double('infinity')" for c in "xyz")
     ask, points = (d.select("splat_id", "x", "y", "z").where(finite) for d in (ask, points))
     cells, cell = grid(points)
     cells = cut(cells)
+    d2, order = F.expr("(x - x2) * (x - x2) + (y - y2) * (y - y2) + (z - z2) * (z - z2)"), Window.partitionBy("splat_id").orderBy("d2", "other")
+    if cells.count() <= LEAF:  # one cell: the points, 32 at most, go to every task
+        held = cells.agg(F.collect_list(F.struct(F.col("splat_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))).alias("all"))
+        pairs = stats.with_row(ask, held).select("splat_id", "x", "y", "z", F.inline("all")).where(others).select("splat_id", "other", d2.alias("d2"))
+        return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     lo = points.agg(*[F.min(c).alias(c) for c in "xyz"]).first()
     asking = cut(ask.select("splat_id", "x", "y", "z", *[F.floor((F.col(c) - F.lit(lo[c] or 0.0)) / cell).alias(f"c{c}") for c in "xyz"]))
     offsets, place = F.sequence(F.lit(-1), F.lit(1)), ["cx", "cy", "cz"]
@@ -125,15 +132,14 @@ def nearest_among(ask: DataFrame, points: DataFrame, k: int) -> DataFrame:
     for c in place:
         counts = counts.withColumn("o", F.explode(offsets)).withColumn(c, F.col(c) + F.col("o")).drop("o")
     full = counts.groupBy(*place).agg(F.sum("n").alias("n")).where(F.col("n").between(k + 1, DENSE)).select(*place)
-    order = Window.partitionBy("splat_id").orderBy("d2", "other")
-    best = around(cells, 1, asking.join(full, place, "left_semi")).where("splat_id <> other").withColumn("place", F.row_number().over(order))
+    best = around(cells, 1, asking.join(full, place, "left_semi")).where(others).withColumn("place", F.row_number().over(order))
     best = best.where(F.col("place") <= k).select("splat_id", "other", "d2", "place").withColumn("far", F.max("d2").over(Window.partitionBy("splat_id"))).withColumn("n", F.count("*").over(Window.partitionBy("splat_id")))
     best = cut(best.where((F.col("n") == k) & (F.col("far") <= cell * cell)).select("splat_id", "other", "d2", "place"))
     rest = cut(asking.join(best.select("splat_id"), "splat_id", "left_anti"))
     if not rest.limit(1).count():
         return best
     where, places = descend(rest, points, k)
-    pairs = where.join(places, ["level", "key"]).where("splat_id <> other").select("splat_id", "other", F.expr("(x - x2) * (x - x2) + (y - y2) * (y - y2) + (z - z2) * (z - z2)").alias("d2"))
+    pairs = where.join(places, ["level", "key"]).where(others).select("splat_id", "other", d2.alias("d2"))
     return best.unionByName(cut(pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)))
 
 

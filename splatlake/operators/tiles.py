@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..runtime import cut
-from . import stats
+from . import spatial, stats
 
 
 def octree(df: DataFrame, depth: int = 6, capacity: int = 50_000) -> DataFrame:
@@ -112,7 +112,8 @@ def select_tiles(tiles: DataFrame, eye: tuple[float, float, float], height: floa
 
 
 def activation(chunks: DataFrame, cameras: DataFrame, thresholds: list[float], focal: float, size: float) -> DataFrame:
-    """(camera, chunk, chosen, active): the level that distance calls for, one coarser where the chunk looks small.
+    """(camera, chunk, chosen, active): the level that distance calls for, one coarser where the chunk looks small. Each
+    camera has a state for each chunk, so the product is the result.
 
     ``chunks``: chunk, level, centroid m_x..m_z, radius; ``cameras``: camera, ex, ey, ez.
     """
@@ -125,15 +126,12 @@ def activation(chunks: DataFrame, cameras: DataFrame, thresholds: list[float], f
 
 
 def near_far(chunks: DataFrame, cameras: DataFrame) -> DataFrame:
-    """(camera, near, far): the two nearest chunks of each camera; the only chunk twice where there is one.
-
-    Two running minima per camera; no chunk list is sorted.
-    """
-    d2 = F.expr("(m_x - ex) * (m_x - ex) + (m_y - ey) * (m_y - ey) + (m_z - ez) * (m_z - ez)")
-    d = chunks.crossJoin(cameras).select("camera", F.struct(d2.alias("d"), F.col("chunk").alias("chunk")).alias("s"))
-    near = d.groupBy("camera").agg(F.min("s").alias("near"))
-    far = d.join(near, "camera").where("s > near").groupBy("camera").agg(F.min("s").alias("far"))
-    return near.join(far, "camera", "left").select("camera", F.col("near.chunk").alias("near"), F.coalesce("far.chunk", "near.chunk").alias("far"))
+    """(camera, near, far): the two nearest chunks of each camera, ties by chunk; the only chunk twice where there is one."""
+    eyes = cameras.selectExpr("camera as splat_id", "ex as x", "ey as y", "ez as z")
+    centres = chunks.selectExpr("chunk as splat_id", "m_x as x", "m_y as y", "m_z as z")
+    near = spatial.nearest_among(eyes, centres, 2, itself=True).groupBy(F.col("splat_id").alias("camera"))
+    near = near.agg(F.max(F.when(F.col("place") == 1, F.col("other"))).alias("near"), F.max(F.when(F.col("place") == 2, F.col("other"))).alias("far"))
+    return near.withColumn("far", F.coalesce("far", "near"))
 
 
 def by_proximity(chunks: DataFrame, eye: tuple[float, float, float]) -> DataFrame:

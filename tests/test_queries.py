@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from splatlake.plans import registry
+from splatlake.adapters import CTE
+from splatlake.plans import q_structure, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,17 +53,13 @@ def test_partition_counts(spark, name):
 
 @pytest.mark.parametrize("name", ["wsr_accumulate", "wsr_resolve"])
 def test_whole_view(spark, duck, name):
-    # the twin's text over all ids: every splat at every pixel
-    text = registry.oracle_sql()[name]
-    assert "splat_id < 300 and " in text
-    got = duck.execute(text.replace("splat_id < 300 and ", ""))
+    # every splat at every pixel
+    got = duck.execute(f"{CTE}, {q_structure.WSR_TWINS[name].removeprefix('with ')}")
     columns = [d[0] for d in got.description]
     want = {(r[columns.index("px_x")], r[columns.index("px_y")]): r for r in got.fetchall()}
-    df = registry.queries()[f"{name}_whole"](spark, SF).select(columns)
-    part = registry.queries()[name](spark, SF).select(columns)
-    rows_ = df.collect()
-    assert len(rows_) == len(want) and rows(df) != rows(part)
-    for r in rows_:
+    got = registry.queries()[name](spark, SF).select(columns).collect()
+    assert len(got) == len(want)
+    for r in got:
         assert list(r) == pytest.approx(list(want[r["px_x"], r["px_y"]]), abs=2e-5)
 
 
