@@ -9,6 +9,8 @@ from ..functions import exprs as X
 from ..runtime import cut
 from . import spatial, stats
 
+#: Rows that ``near_far`` broadcasts at most.
+HELD = 100_000
 
 def octree(df: DataFrame, depth: int = 6, capacity: int = 50_000) -> DataFrame:
     """``df`` with path: the leaf's octants from the root down, 'r' first.
@@ -126,10 +128,18 @@ def activation(chunks: DataFrame, cameras: DataFrame, thresholds: list[float], f
 
 
 def near_far(chunks: DataFrame, cameras: DataFrame) -> DataFrame:
-    """(camera, near, far): the two nearest chunks of each camera, ties by chunk; the only chunk twice where there is one."""
-    eyes = cameras.selectExpr("camera as splat_id", "ex as x", "ey as y", "ez as z")
-    centres = chunks.selectExpr("chunk as splat_id", "m_x as x", "m_y as y", "m_z as z")
-    near = spatial.nearest_among(eyes, centres, 2, itself=True).groupBy(F.col("splat_id").alias("camera"))
+    """(camera, near, far): the two nearest chunks of each camera, ties by chunk; the only chunk twice where there is one.
+
+    Cameras at one place share one search, so only places are searched for; each camera then takes what its place found.
+    """
+    eye = ["ex", "ey", "ez"]
+    centres = cut(chunks.selectExpr("chunk as splat_id", "m_x as x", "m_y as y", "m_z as z"))
+    eyes = cut(cameras.select(*eye).distinct().withColumn("splat_id", F.monotonically_increasing_id()))
+    found = spatial.nearest_among(eyes.selectExpr("splat_id", "ex as x", "ey as y", "ez as z"), centres, 2, itself=True)
+    found = cut(eyes.join(found, "splat_id").select(*eye, "other", "d2"))
+    pairs = cameras.select("camera", *eye).join(F.broadcast(found) if found.count() <= HELD else found, eye)
+    place = F.row_number().over(Window.partitionBy("camera").orderBy("d2", "other"))
+    near = pairs.select("camera", "other", place.alias("place")).where("place <= 2").groupBy("camera")
     near = near.agg(F.max(F.when(F.col("place") == 1, F.col("other"))).alias("near"), F.max(F.when(F.col("place") == 2, F.col("other"))).alias("far"))
     return near.withColumn("far", F.coalesce("far", "near"))
 

@@ -198,7 +198,8 @@ _CAMS = "ca as (select event_id as camera, (event_id % 7) * 0.5e0 as ex, (event_
 
 
 def _lodge(load):
-    chunks = order.chunk_stats(order.morton_sort(load("xl")).withColumn("chunk", F.expr("rank div 2000"))).withColumn("level", F.expr("cast(chunk % 4 as int)"))
+    # only positions are ranked: what is ranked is shuffled and cut whole
+    chunks = order.chunk_stats(order.morton_sort(load("xl").select(ID, "x", "y", "z")).withColumn("chunk", F.expr("rank div 2000"))).withColumn("level", F.expr("cast(chunk % 4 as int)"))
     cams = load("events").selectExpr("event_id as camera", "(event_id % 7) * 0.5e0 as ex", "(event_id % 5) * 0.5e0 as ey", "(event_id % 3) * 1e0 as ez")
     return chunks, cams
 

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from splatlake import adapters
 from splatlake.operators import catalog, cluster, graph, order, prune, quantize, report, spatial, stats, tiles, view
-from splatlake.plans import presets
+from splatlake.plans import presets, q_structure
 
 COLUMNS = ["splat_id", "x", "y", "z", "qx", "qy", "qz", "qw", "sx", "sy", "sz", "opacity", "dc0", "dc1", "dc2"]
 
@@ -273,3 +274,23 @@ def test_fetch_queue_keeps_first_of_the_largest_error(spark):
     asks = spark.createDataFrame([(0, "a", 2.0, 0), (0, "b", 5.0, 1), (0, "a", 7.0, 2), (0, "c", 5.0, 3), (0, "a", 7.0, 4), (0, "d", None, 5), (1, "b", 1.0, 6)], "frame long, tile string, sse double, seq long")
     got = [(r["frame"], r["tile"], r["seq"]) for r in tiles.fetch_queue(asks).orderBy("frame", "place").collect()]
     assert got == [(0, "a", 2), (0, "b", 1), (0, "c", 3), (0, "d", 5), (1, "b", 6)]
+
+
+def test_cameras_at_one_place_share_a_search(spark, monkeypatch):
+    rng, asked, search = np.random.default_rng(8), [], spatial.nearest_among
+    m, eyes = rng.normal(size=(90, 3)).round(3), rng.normal(size=(6, 3)).round(1)
+    monkeypatch.setattr(spatial, "nearest_among", lambda ask, *a, **b: asked.append(ask.count()) or search(ask, *a, **b))
+    chunks = positions(spark, m).selectExpr("splat_id as chunk", "x as m_x", "y as m_y", "z as m_z")
+    # camera 0 stands at one place twice: its nearest chunk is then the next one too, as in SQL
+    at = [(c, *map(float, eyes[c % 6])) for c in [0, *range(300)]]
+    got = {r["camera"]: (r["near"], r["far"]) for r in tiles.near_far(chunks, spark.createDataFrame(at, "camera long, ex double, ey double, ez double")).collect()}
+    order = np.argsort(((eyes[:, None] - m[None]) ** 2).sum(2), axis=1)
+    assert asked == [6]
+    assert got == {c: (order[c % 6][0], order[c % 6][1 if c else 0]) for c in range(300)}
+
+
+def test_chunks_rank_positions_only(spark, monkeypatch):
+    kept, cut = [], stats.cut
+    monkeypatch.setattr(stats, "cut", lambda df: kept.append(set(df.columns)) or cut(df))
+    q_structure._lodge(lambda name: adapters.view(spark, "/root/testdata/sf0.001", name))
+    assert kept == [{"splat_id", "x", "y", "z", "code", "__part", "__at"}]
