@@ -294,3 +294,27 @@ def test_chunks_rank_positions_only(spark, monkeypatch):
     monkeypatch.setattr(stats, "cut", lambda df: kept.append(set(df.columns)) or cut(df))
     q_structure._lodge(lambda name: adapters.view(spark, "/root/testdata/sf0.001", name))
     assert kept == [{"splat_id", "x", "y", "z", "code", "__part", "__at"}]
+
+
+@pytest.mark.parametrize("decided", [tiles.DECIDED, 0])
+def test_levels_are_decided_once_a_place(spark, monkeypatch, decided):
+    monkeypatch.setattr(tiles, "DECIDED", decided)
+    rng = np.random.default_rng(9)
+    m, eyes = rng.normal(size=(40, 3)).round(3), [*(rng.normal(size=(5, 3)) * 2).round(1).tolist(), [None, 0.0, 0.0]]
+    chunks = positions(spark, m).selectExpr("splat_id as chunk", "cast(splat_id % 4 as int) as level", "x as m_x", "y as m_y", "z as m_z", "0.1 + splat_id / 50 as radius")
+    # a camera twice, one without an id, and places without a coordinate
+    at = [(c, *eyes[(c or 0) % 6]) for c in [7, None, *range(900)]]
+    out = tiles.activation(chunks, spark.createDataFrame(at, "camera long, ex double, ey double, ez double"), [0.0, 0.5, 1.0], 5.0, 2.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join Cross" in plan) == (not decided)
+    want = []
+    for camera, *e in at:
+        for i, c in enumerate(m.tolist()):
+            gone, radius = e[0] is None, 0.1 + i / 50
+            dist = 0.0 if gone else sum((a - b) ** 2 for a, b in zip(c, e, strict=True)) ** 0.5
+            level = 0 if gone else sum(max(dist - radius, 0.0) >= t for t in (0.5, 1.0))
+            # greatest passes nulls over: a lost distance counts as the least one
+            level += 5.0 * radius / max(dist, 1e-3) < 2.0 and level + 1 < 3
+            want.append((camera, i, level, int(level == i % 4)))
+    key = lambda r: (r[0] is None, *(v or 0 for v in r))
+    assert sorted((tuple(r) for r in out.select("camera", "chunk", "chosen", "active").collect()), key=key) == sorted(want, key=key)
