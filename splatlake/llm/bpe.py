@@ -41,8 +41,14 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.text = {i: str(i) for i in ranks.values()}
-        #: the id of the merge of each mergeable pair of ids, by a << 32 | b
-        self.merges = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        #: the id of the merge of each mergeable pair of ids: of each left id by the right one, of each right id by the left one
+        self.right, self.left = {}, {}
+        for t, r in ranks.items():
+            for k in range(1, len(t)):
+                a, b = ranks.get(t[:k]), ranks.get(t[k:])
+                if a is not None and b is not None:
+                    self.right.setdefault(a, {})[b] = r
+                    self.left.setdefault(b, {})[a] = r
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         first = np.full((256, 256), -1, np.int64)
         for t, r in ranks.items():
@@ -77,42 +83,47 @@ class Replay:
         kinds, starts = np.unique(rank[order], return_index=True)
         index = {r: x.tolist() for r, x in zip(kinds.tolist(), np.split(order, starts[1:]), strict=True)} if len(order) else {}
         symbol, after, before = self.single[data].tolist(), after.tolist(), before.tolist()
-        heap, merges = list(index), self.merges
+        # pair: the rank of the pair that stands at each position now, None or -1 if it can't be merged
+        heap, pair, listed, none = list(index), rank.tolist(), index.get, {}
         heapq.heapify(heap)
         while heap:
             r = heapq.heappop(heap)
             places = index.pop(r)
             places.sort()
+            right, left = self.right.get(r, none).get, self.left.get(r, none).get
             for i in places:
                 # an entry is stale once its pair has changed
-                j = after[i]
-                a = symbol[i]
-                if j < 0 or a < 0 or merges.get(a << 32 | symbol[j]) != r:
+                if pair[i] != r:
                     continue
+                j = after[i]
                 symbol[i] = r
-                symbol[j] = -1
+                symbol[j] = pair[j] = -1
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    x = merges.get(r << 32 | symbol[k])
+                    x = pair[i] = right(symbol[k])
                     if x is not None:
-                        if x in index:
-                            index[x].append(i)
-                        else:
+                        there = listed(x)
+                        if there is None:
                             index[x] = [i]
                             heapq.heappush(heap, x)
+                        else:
+                            there.append(i)
+                else:
+                    pair[i] = -1
                 h = before[i]
                 if h >= 0:
-                    x = merges.get(symbol[h] << 32 | r)
+                    x = pair[h] = left(symbol[h])
                     if x is not None:
-                        if x in index:
-                            index[x].append(h)
-                        else:
+                        there = listed(x)
+                        if there is None:
                             index[x] = [h]
                             heapq.heappush(heap, x)
-        left = np.array(symbol)
-        stands = left >= 0
-        ids = list(map(self.text.__getitem__, left[stands].tolist()))
+                        else:
+                            there.append(h)
+        last = np.array(symbol)
+        stands = last >= 0
+        ids = list(map(self.text.__getitem__, last[stands].tolist()))
         stops = np.cumsum(stands)[ends - 1].tolist()
         at = 0
         for w, stop in zip(todo, stops, strict=True):
@@ -126,17 +137,24 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.find = Replay(ranks), regex.compile(pattern).findall
+        #: the encodings kept, and which of them a later block had as well
         self.cache: dict[str, str] = {}
+        self.again: set[str] = set()
         self.bytes_of = {str(i): b for b, i in ranks.items()}
 
     def encode(self, texts: list[str]) -> list[tuple[int, str]]:
         """Of each text the number of ids, and the ids in decimal joined by commas."""
         split = [self.find(t) for t in texts]
         vocabulary = set().union(*split)
-        fresh = list(vocabulary.difference(self.cache))
+        met = vocabulary.intersection(self.cache)
+        fresh = list(vocabulary.difference(met))
+        self.again |= met
         if len(self.cache) + len(fresh) > CACHED:
-            # what this block also has is likely to come again
-            self.cache = {w: self.cache[w] for w in vocabulary.intersection(self.cache)}
+            # what came again is likely to come once more; where that is too much by itself, what this block also has
+            full = len(self.again) > CACHED * 3 // 4
+            self.cache = {w: self.cache[w] for w in (met if full else self.again)}
+            if full:
+                self.again = set()
         self.cache.update(zip(fresh, self.replay.encode([w.encode() for w in fresh]), strict=True))
         get = self.cache.__getitem__
         joined = [",".join(map(get, words)) for words in split]

@@ -414,3 +414,18 @@ def test_pipeline_matches_plain(spark, encoding):
         text = re.sub(r'AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}', "<SECRET>", texts[i])
         ids = encoding.encode_ordinary(text)
         assert n == len(ids) and digest == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_encodings_met_again_are_kept(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 40)
+    codec = bpe.Codec({bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258}, r"\w+")
+    learned, encode = [], codec.replay.encode
+    monkeypatch.setattr(codec.replay, "encode", lambda words: learned.extend(words) or encode(words))
+    common = "xab xabc xbc"
+    for i in range(30):
+        # every third block lacks the common words, and every block has nine that no other has
+        text = " ".join(f"q{i}n{j}" for j in range(9)) + (f" {common}" if i % 3 else "")
+        codec.encode([text])
+        assert len(codec.cache) <= 40
+    assert all(learned.count(w.encode()) == 1 for w in common.split())
+    assert codec.encode([common])[0] == (6, "120,256,120,257,120,258")
