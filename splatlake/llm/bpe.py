@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .shared import slices
 
 #: Pre-tokens whose encodings a worker keeps, about 300 bytes each, and bytes of text in a block.
-CACHED, BLOCK_BYTES = 120_000, 1 << 20
+CACHED, BLOCK_BYTES = 132_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +54,7 @@ class Replay:
         for t, r in ranks.items():
             if len(t) == 2:
                 first[t[0], t[1]] = r
-        self.first = first
+        self.first, self.narrow = first, np.uint16 if max(ranks.values()) < 1 << 16 else np.int64
 
     def encode(self, words: list[bytes]) -> list[str]:
         """The ids of each word, in decimal, joined by commas."""
@@ -78,10 +78,13 @@ class Replay:
         rank = np.full(n, -1)
         rank[:-1] = self.first[data[:-1], data[1:]]
         rank[ends - 1] = -1
-        order = np.argsort(rank, kind="stable")
-        order = order[np.searchsorted(rank[order], 0) :]
-        kinds, starts = np.unique(rank[order], return_index=True)
-        index = {r: x.tolist() for r, x in zip(kinds.tolist(), np.split(order, starts[1:]), strict=True)} if len(order) else {}
+        order = np.flatnonzero(rank >= 0)
+        # numbers of 16 bits are sorted by their digits
+        order = order[np.argsort(rank[order].astype(self.narrow), kind="stable")]
+        kinds = rank[order]
+        starts = np.flatnonzero(np.diff(kinds, prepend=-1)).tolist()
+        order = order.tolist()
+        index = {r: order[i:j] for r, i, j in zip(kinds[starts].tolist(), starts, [*starts[1:], None], strict=True)} if order else {}
         symbol, after, before = self.single[data].tolist(), after.tolist(), before.tolist()
         # pair: the rank of the pair that stands at each position now, None or -1 if it can't be merged
         heap, pair, listed, none = list(index), rank.tolist(), index.get, {}
@@ -151,7 +154,7 @@ class Codec:
         self.again |= met
         if len(self.cache) + len(fresh) > CACHED:
             # what came again is likely to come once more; where that is too much by itself, what this block also has
-            full = len(self.again) > CACHED * 3 // 4
+            full = len(self.again) + len(fresh) > CACHED
             self.cache = {w: self.cache[w] for w in (met if full else self.again)}
             if full:
                 self.again = set()
