@@ -1,6 +1,7 @@
 """Operators against plain versions and their bounds."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -318,3 +319,14 @@ def test_levels_are_decided_once_a_place(spark, monkeypatch, decided):
             want.append((camera, i, level, int(level == i % 4)))
     key = lambda r: (r[0] is None, *(v or 0 for v in r))
     assert sorted((tuple(r) for r in out.select("camera", "chunk", "chosen", "active").collect()), key=key) == sorted(want, key=key)
+
+
+def test_a_block_is_not_unfolded_in_one(spark):
+    chunks = spark.range(50).selectExpr("id as chunk", "cast(id % 4 as int) as level", "id * 1e0 as m_x", "0e0 as m_y", "0e0 as m_z", "0.1e0 as radius")
+    out = tiles.activation(chunks, spark.range(300).selectExpr("id as camera", "id % 2 * 1e0 as ex", "0e0 as ey", "0e0 as ez"), [0.0, 0.5], 5.0, 2.0)
+    assert len({(r["camera"], r["chunk"]) for r in out.collect()}) == out.count() == 15_000
+    # compiled code gathers all rows that one input row leads to: it unfolds cameras only
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    compiled = re.findall(r"\*\((\d+)\) Generate", plan)
+    assert compiled and len(set(compiled)) == len(compiled)
+    assert not set(compiled) & set(re.findall(r"\*\((\d+)\) BroadcastHashJoin", plan))
